@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import chat, decontaminate, mixing, sharding, transport
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,8 +25,19 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_read(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    said = chat.END + chat.START + "assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(chat.table_turns(rows.select("conv_id", "turn", "role", "text").unionByName(more))))
+
+
+def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.unpacked(transport.packed(_read(spark, sf_dir, "documents"))).drop("counter_errors", "units")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op7_transport)}
 
 
 def oracle_sql() -> dict[str, str]:
