@@ -72,7 +72,7 @@ class PatternSet:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         end, block = (np.concatenate(x) for x in zip(*found))
         left, right = np.searchsorted(self.suffix, block, "left"), np.searchsorted(self.suffix, block, "right")
-        out_end, out_pat = [], []
+        out_end, out_pat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         k = 0
         live = left < right
         while live.any():  # the k-th test string of each suffix bucket
