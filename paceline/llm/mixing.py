@@ -20,7 +20,7 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.withColumns({
         "_size": F.regexp_count(text, F.lit(WORDS)).cast("long"),
-        "_key": F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(text)),
+        "_key": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(text)), 1),  # 63 bits, not negative
         "_src": F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")),  # nulls last
     })
 
@@ -49,7 +49,7 @@ def _placed(rows: DataFrame, slim: DataFrame, weights: tuple[float, ...], max_ep
     """rows with source_size, target, and _start: the words of its source before the row, in key order."""
     n = slim.count()
     bits = max(0, (max(1, n // _ROWS_PER_RANGE) - 1).bit_length())
-    bucket = F.shiftrightunsigned("_key", 64 - bits) if bits else F.lit(0).cast("long")
+    bucket = F.shiftright("_key", 63 - bits) if bits else F.lit(0).cast("long")
     ranges = slim.withColumn("_range", bucket).groupBy("_src", "_range").agg(F.sum("_size").alias("words"))
     before = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_offset", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(targets(slim, weights, max_epochs), "_src")
