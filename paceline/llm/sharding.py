@@ -82,7 +82,7 @@ def communication_matrix(counts: DataFrame, bits: int, total: int, n_shards: int
     """_block, caps: for each block of `counts` (_block, n), the rows it sends to each shard."""
     spark = counts.sparkSession
     caps = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    nodes = spark.range(1).select(F.lit(0).cast("long").alias("_block"), F.array(*[F.lit(c).cast("long") for c in caps]).alias("caps"))
+    nodes = spark.range(1).select(F.col("id").alias("_block"), F.array(*[F.lit(c).cast("long") for c in caps]).alias("caps"))
     done = 0
     while done < bits or done == bits == 0:
         fan = min(_FAN_BITS, bits - done)
