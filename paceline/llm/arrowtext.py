@@ -84,8 +84,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["q"][:n]
 
 
-def _block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low = WORD_BYTE[data]
+def _block_words(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = table[data]
     inside = low != 0
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -102,23 +102,23 @@ def _block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     return s, e, h
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of all words, and n + 1 offsets of rows into them.
 
-    A word is a maximal run of word bytes of one row, ASCII letters lower-cased.  A long
-    row is cut into blocks at bytes that no word holds, so temporary arrays stay small.
+    A word is a maximal run of word bytes of one row, ASCII letters lower-cased; `table` has
+    the byte that stands for each byte, 0 for those outside words.  A long row is cut into blocks at bytes that no word holds, so temporary arrays stay small.
     """
     parts, at = [], 0
     while at < len(data):
         to = min(len(data), at + _BLOCK)
         if to < len(data):
-            stop = np.flatnonzero(WORD_BYTE[data[at:to]] == 0)
+            stop = np.flatnonzero(table[data[at:to]] == 0)
             if len(stop):
                 to = at + int(stop[-1]) + 1
             else:  # one word fills the block: go on to its end
-                rest = np.flatnonzero(WORD_BYTE[data[to:]] == 0)
+                rest = np.flatnonzero(table[data[to:]] == 0)
                 to = to + int(rest[0]) + 1 if len(rest) else len(data)
-        s, e, h = _block_words(data[at:to], offsets - at)
+        s, e, h = _block_words(data[at:to], offsets - at, table)
         parts.append((s + at, e + at, h))
         at = to
     s, e, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
