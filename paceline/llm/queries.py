@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, mixing, sharding, transport
+from . import chat, decontaminate, langid, mixing, quality, sharding, transport
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,12 +36,16 @@ def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.unpacked(transport.packed(_read(spark, sf_dir, "documents"))).drop("counter_errors", "units")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op7_transport, op9_langid)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op7_transport, op8_quality, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
