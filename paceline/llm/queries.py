@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, mixing, quality, sharding, transport
+from . import chat, decontaminate, langid, mixing, quality, sharding, suffixdedup, transport
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,8 +44,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_read(spark, sf_dir, "documents"))
 
 
+def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removed(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op7_transport, op8_quality, op9_langid)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op7_transport, op8_quality, op9_langid, op10_suffixdedup)}
 
 
 def oracle_sql() -> dict[str, str]:

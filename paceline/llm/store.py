@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: rows may hold packed arrays; small row groups keep a reader's batch small
+_ROW_GROUP = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where unset (tests on one machine), a temporary folder."""
@@ -21,7 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder, read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
