@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, mixing, quality, sharding, suffixdedup, transport
+from . import chat, decontaminate, langid, mixing, neardup, quality, sharding, suffixdedup, transport
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.table_turns(rows.select("conv_id", "turn", "role", "text").unionByName(more))))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(_read(spark, sf_dir, "documents"))
+
+
 def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.unpacked(transport.packed(_read(spark, sf_dir, "documents"))).drop("counter_errors", "units")
 
@@ -49,7 +53,7 @@ def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op7_transport, op8_quality, op9_langid, op10_suffixdedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op6_neardup, op7_transport, op8_quality, op9_langid, op10_suffixdedup)}
 
 
 def oracle_sql() -> dict[str, str]:
