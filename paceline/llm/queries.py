@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, mixing, neardup, quality, sharding, suffixdedup, transport
+from . import chat, decontaminate, langid, licenses, mixing, neardup, quality, sharding, suffixdedup, transport
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_read(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_read(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     said = chat.END + chat.START + "assistant ok"
@@ -53,7 +57,7 @@ def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op5_chat, op6_neardup, op7_transport, op8_quality, op9_langid, op10_suffixdedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op4_licenses, op5_chat, op6_neardup, op7_transport, op8_quality, op9_langid, op10_suffixdedup)}
 
 
 def oracle_sql() -> dict[str, str]:
