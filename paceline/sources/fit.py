@@ -33,6 +33,8 @@ def _value(raw: bytes, base: int, order: str) -> float | None:
 def fit_records(content: bytes) -> Iterator[dict[str, float]]:
     """The record messages that have a time, as channels; files joined one after another are read through."""
     at = 0
+    if len(content) < 12:
+        raise ValueError("no FIT file")
     while at + 12 <= len(content):
         head = content[at]
         if head not in (12, 14) or content[at + 8 : at + 12] != b".FIT":
