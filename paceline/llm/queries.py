@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, langid, licenses, mixing, neardup, quality, sharding, suffixdedup, transport
+from .oracles import oracle_sql  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,7 +59,3 @@ def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op4_licenses, op5_chat, op6_neardup, op7_transport, op8_quality, op9_langid, op10_suffixdedup)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
