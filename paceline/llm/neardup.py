@@ -6,9 +6,9 @@ keeps its earliest dart, so two signatures agree in a coordinate with the probab
 weighted Jaccard similarity.  Few darts beyond those needed are thrown, whatever the text's length.
 
 Texts with equal shingle multisets are one node.  Nodes that share a band are compared with
-one hub first; only nodes still in another component than their bucket's largest are then
-compared with all of the bucket, in blocks.  So no link between components is missed, and
-a group of n copies costs about n comparisons.
+one hub first, then with the node that looks nearest; only nodes still in another component
+than their bucket's largest are compared with all of the bucket, in blocks.  So no link
+between components is missed, and a group of n copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .store import dropped, written
 
 BANDS, BAND_ROWS, SHINGLE = 32, 6, 5
 _NODES = 1500
-_BLOCK = 256
+_BLOCK = 1024
 _NOTHING = np.uint64(2**64 - 1)
 
 
@@ -204,60 +204,134 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _between(buckets: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of nodes of a bucket in different components whose signatures do not rule out the similarity.
-
-    A bucket's nodes outside its largest component, in blocks, meet all nodes of the bucket, in blocks; a pair is given by the
-    first band that it shares.  Signatures rule out a pair below the threshold by more than four standard deviations.
-    """
-    k = BANDS * BAND_ROWS
-    least = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root, left, n_left, n_all: the buckets whose nodes are in several components, what is outside the largest of
+    them (left), and the numbers of blocks of those nodes and of all."""
     rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = by.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max("n").alias("most")).filter("roots > 1")
     blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
-    open_ = rows.join(main, "key").withColumn("left", F.col("root") != F.col("main"))
-    open_ = open_.select("key", "node", "root", "left", blocks(F.col("n") - F.col("most")).alias("n_left"), blocks(F.col("n")).alias("n_all"))
-    open_ = written(open_, "dup-open")
-    if open_.isEmpty():
-        return buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    rows = rows.join(main, "key").withColumn("left", F.col("root") != F.col("main"))
+    return written(rows.select("key", "node", "root", "left", blocks(F.col("n") - F.col("most")).alias("n_left"), blocks(F.col("n")).alias("n_all")), "dup-open")
+
 
+def _signatures(open_: DataFrame, texts: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_runs(batches):
-            sig = dart_signatures(*weighted_shingles(data, off), len(off) - 1, k)
+            sig = dart_signatures(*weighted_shingles(data, off), len(off) - 1, BANDS * BAND_ROWS)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "sig"])
 
-    need = open_.select("node").distinct()
-    signed = written(texts.join(need, "node", "left_semi").select("node", "text").mapInArrow(sign, "node binary, sig binary"), "dup-open-signed")
-    rows = open_.join(signed, "node")
+    wanted = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text")
+    return written(wanted.mapInArrow(sign, "node binary, sig binary"), "dup-signatures")
+
+
+def _cells(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of open buckets dealt to cells (key, i, j): block i of the left nodes (side 0) and block j of all nodes (side 1)."""
+    rows = open_.join(nodes, "node")
     slot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     lefts = rows.filter("left").withColumn("i", slot(F.col("n_left"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1))).withColumn("side", F.lit(0))
     alls = rows.withColumn("j", slot(F.col("n_all"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1))).withColumn("side", F.lit(1))
-    cells = lefts.unionByName(alls).select("key", "i", "j", "side", "node", "root", "left", "sig")
+    return lefts.unionByName(alls).drop("n_left", "n_all")
+
+
+def _matrix(part):
+    return np.frombuffer(b"".join(part.sig), np.uint64).reshape(-1, BANDS * BAND_ROWS)
+
+
+def _promising(threshold: float) -> float:
+    """The share of equal coordinates under which the similarity is out of the question: four standard deviations below it."""
+    return threshold - 4 * (threshold * (1 - threshold) / (BANDS * BAND_ROWS)) ** 0.5
+
+
+def _nearest(open_: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """a, b: of each left node the node of another component whose signature is most like its own, if that is promising."""
+    least = _promising(threshold)
+
+    def compare(part):
+        import pandas as pd
+
+        a, b = part[part.side == 0], part[part.side == 1]
+        out = []
+        if len(a) and len(b):
+            x, y = _matrix(a), _matrix(b)
+            roots, names = b.root.to_numpy(), b.node.to_numpy()
+            for i, (node, root) in enumerate(zip(a.node, a.root)):
+                share = np.where(roots != root, (x[i] == y).mean(1), 0.0)
+                q = int(share.argmax())
+                if share[q] >= least:
+                    out.append((node, names[q], share[q]))
+        return pd.DataFrame(out, columns=["a", "b", "share"])
+
+    found = _cells(open_, signed).groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary, share double")
+    return found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+
+
+def _links(open_: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: verified links that join the components of each bucket.
+
+    Left nodes meet all nodes of their bucket, in blocks; a pair that shares several bands belongs to the first.  What signatures
+    leave open is verified exactly, the most alike first, and not at all once the two components are joined in the cell.
+    """
+    least = _promising(threshold)
 
     def compare(part):
         import pandas as pd
 
         a, b = part[part.side == 0], part[part.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        key = np.int64(part.key.iloc[0]).view(np.uint64)
-        x, y = (np.frombuffer(b"".join(p.sig), np.uint64).reshape(-1, k) for p in (a, b))
-        bx, by = band_keys(x), band_keys(y)
-        band = int(np.flatnonzero((bx == key).any(0))[0])
-        out_a, out_b = [], []
-        names, roots_ = b.node.to_numpy(), b.root.to_numpy()
-        lefts_ = b.left.to_numpy()
-        for i, (node, root) in enumerate(zip(a.node, a.root)):
-            ok = (x[i] == y).mean(1) >= least
-            ok &= ~(bx[i, :band] == by[:, :band]).any(1)
-            for q in np.flatnonzero(ok):
-                if roots_[q] != root and (not lefts_[q] or node < names[q]):
-                    out_a.append(node)
-                    out_b.append(names[q])
-        return pd.DataFrame({"a": out_a, "b": out_b}, dtype=object)
-
-    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+        out = []
+        if len(a) and len(b):
+            x, y = _matrix(a), _matrix(b)
+            key = np.int64(part.key.iloc[0]).view(np.uint64)
+            bx, by = band_keys(x), band_keys(y)
+            band = int(np.flatnonzero((bx == key).any(0))[0])
+            left, names = b.left.to_numpy(), b.node.to_numpy()
+            joined: dict[bytes, bytes] = {}
+
+            def top(r: bytes) -> bytes:
+                while r in joined:
+                    r = joined[r]
+                return r
+
+            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def shingle_set(side: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+                if (got := sets.get(2 * at + side)) is None:
+                    raw = np.frombuffer((b if side else a).text.iloc[at].encode(), np.uint8)
+                    got = sets[2 * at + side] = weighted_shingles(raw, np.array([0, len(raw)]))[1:]
+                return got
+
+            for i, (node, root) in enumerate(zip(a.node, a.root)):
+                share = (x[i] == y).mean(1)
+                ok = (share >= least) & ~(bx[i, :band] == by[:, :band]).any(1)
+                for q in sorted(np.flatnonzero(ok), key=lambda q: -share[q]):
+                    if top(root) == top(b.root.iloc[q]) or left[q] and node >= names[q]:
+                        continue
+                    one, two = shingle_set(0, i), shingle_set(1, int(q))
+                    zeros = lambda z: (np.zeros(len(z[0]), np.int64), *z)
+                    if similarities(zeros(one), zeros(two), 1)[0] >= threshold:
+                        out.append((node, names[q]))
+                        joined[top(root)] = top(b.root.iloc[q])
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    nodes = signed.join(texts.select("node", "text"), "node")
+    return _cells(open_, nodes).groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
+def _linked(buckets: DataFrame, first: DataFrame, texts: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
+    """Verified links by which all nodes of a bucket that are linked at all are in one component.
+
+    Hubs first, then in each round the nearest node of another component; what is still apart is settled by _links().
+    """
+    linked = written(_verified(first, texts, threshold), "dup-linked")
+    signed = None
+    for k in range(rounds + 1):
+        open_ = _open(buckets, components(linked))
+        if open_.isEmpty():
+            return linked
+        signed = signed if signed is not None else _signatures(open_, texts)
+        more = _verified(_nearest(open_, signed, threshold), texts, threshold) if k < rounds else _links(open_, signed, texts, threshold)
+        linked = written(linked.union(more), "dup-linked")
+    return linked
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> DataFrame:
@@ -287,9 +361,7 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> D
     repeated = texts.groupBy("node").count().filter("count > 1").limit(1).count()
     if repeated:  # rows repeated with their ids
         texts = texts.dropDuplicates(["node"])
-    linked = written(_verified(first, texts, threshold), "dup-linked")
-    more = written(_verified(_between(buckets, components(linked), texts, threshold), texts, threshold), "dup-between")
-    roots = components(linked.union(more))
+    roots = components(_linked(buckets, first, texts, threshold))
     of = nodes.select("node", F.col("first.doc").alias("doc")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc").alias("class_id"))
     member = of.join(least, "root").select("node", "class_id")

@@ -66,7 +66,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, node string").repartition(3)
 
 
-@pytest.mark.parametrize("seed, block", [(1, 256), (2, 4)])
+@pytest.mark.parametrize("seed, block", [(1, 1024), (2, 4)])
 def test_classes_against_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(neardup, "_BLOCK", block)
     monkeypatch.setattr(neardup, "_NODES", 30)
@@ -75,6 +75,14 @@ def test_classes_against_all_pairs(spark, monkeypatch, seed, block):
     assert got == brute(rows)
 
 
+def test_what_rounds_leave_apart_is_settled_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_BLOCK", 5)
+    monkeypatch.setattr(neardup._linked, "__defaults__", (0,))  # no rounds of nearest nodes
+    rows = corpus(5)
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.report(frame(spark, rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = corpus(3)
     df = frame(spark, rows)
