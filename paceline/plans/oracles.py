@@ -178,14 +178,14 @@ def oracle_sql() -> dict[str, str]:
         "bootstrap_resample_fixed_starts": "select cast(p - 1 as integer) as place, cast(list_extract([2, 3, 4, 5, 5, 6, 7, 8, 7, 8], p) as bigint) as load from (select unnest(generate_series(1, 10)) as p) x",
         "exposure": f"with {_days(_DURATION, '2000-10-09', '2000-12-31')}, s as (select athlete_id, date, daily_load, {_mean('daily_load', 7)} as atl, {_mean('daily_load', 42)} as ctl from days) select athlete_id, date, {_round('daily_load', 'atl', 'ctl')}, round(case when ctl > 0 then atl / ctl end, 6) as acwr from s where date >= date '2000-11-20'",
         "acwr_zones": f"with {_acwr(_DURATION)}, z as (select case when acwr is null then null when acwr < 0.8 then 'low' when acwr < 1.3 then 'reference' when acwr <= 1.5 then 'elevated' else 'high' end as zone from smooth) select zone, count(*) as n from z group by zone",
-        "history_warnings": f"""with {_ACTS}, s as (select athlete_id, date, {_HRSS} as load from activities where type = '5-LOW' and sport = 'ASIA' and date <= date '1995-06-30'),
+        "history_warnings": f"""with {_ACTS}, s as (select athlete_id, date, {_HRSS} as load from activities where date <= date '1995-06-30'),
 b as (select athlete_id, min(date) as first_available, count(*) filter (where load is null and date >= date '1994-12-04') as n_unknown from s group by athlete_id),
 w as (select *, case when first_available > date '1994-12-04' then greatest(0, date_diff('day', date '1995-01-01', least(cast(first_available + interval 26 day as date), date '1995-06-30')) + 1) else 0 end as affected_days from b)
 select athlete_id, first_available, cast(affected_days as integer) as affected_days, n_unknown from w where affected_days > 0 or n_unknown > 0""",
         "rest_days": f"with {_days(_DURATION, '1999-01-01', '2000-12-31')} select athlete_id, count(*) as n_days, count(*) filter (where n is null) as n_rest from days group by athlete_id",
         "cohort_bands": f"with {_acwr(_DURATION)}, {_SPORTS}, {_bands('with_sport', 'sport')} select date, sport, n_athletes, percentile, round(value, 6) as value from bands",
         "cohort_wide": f"with {_acwr(_DURATION)}, {_bands('smooth')} select date, {_round('p05', 'p25', 'p50', 'p75', 'p95')} from wide",
-        "cohort_overlay": f"with {_acwr(_DURATION)}, {_bands('smooth')} select s.date, {_round('acwr_smooth', 'p05', 'p25', 'p50', 'p75', 'p95')}, athlete_id from smooth s left join wide w on s.date = w.date where athlete_id = 3",
+        "cohort_overlay": f"with {_acwr(_DURATION)}, {_bands('smooth')} select s.date, {_round('acwr_smooth', 'p05', 'p25', 'p50', 'p75', 'p95')}, athlete_id from smooth s left join wide w on s.date = w.date",
         "duplicate_bands": f"with {_acwr(_DURATION)}, {_SPORTS}, {_bands('with_sport', 'sport')} select date, percentile, count(*) as n from bands group by date, percentile having count(*) > 1",
         "ef_summary_speed": f"""with {_ACTS}, {_EF_BASE}, v as (select *, {_SPEED} as value, average_heartrate < 50 or average_heartrate > 220 as odd from base where minutes >= 20)
 select athlete_id, id as activity_id, date, type as activity_type, round(case when not odd and value > 0 then value end, 6) as ef_value, case when odd then 'poor_hr_quality' when value > 0 then 'no_streams' else 'calculation_failed' end as status,
@@ -211,14 +211,14 @@ select athlete_id, activity_id, round(case when status = 'ok' then (ef1 - ef2) /
 select athlete_id, activity_id, total_points, flagged_points, round_even(100.0 * flagged_points / total_points, 2) as flagged_pct, steady_state_points, round_even(100.0 * steady_state_points / total_points, 2) as steady_state_pct,
   round_even(q, 3) as quality_score, round_even(100.0 * h / total_points, 2) as hr_spike_pct, round_even(100.0 * p / total_points, 2) as pw_spike_pct, round_even(100.0 * g / total_points, 2) as gps_drift_pct from t""",
         "hr_coverage": f"with {_STREAMS}, p as (select *, lag(time_s) over w as t0, lag(heartrate) over w as h0 from streams window w as (partition by activity_id order by time_s)) select athlete_id, activity_id, round(sum(case when heartrate > 0 and h0 > 0 then time_s - t0 else 0 end) / sum(time_s - t0), 6) as coverage from p group by athlete_id, activity_id",
-        "sampling_interval": f"with {_STREAMS}, p as (select *, time_s - lag(time_s) over (partition by activity_id order by time_s) as gap from streams where seq_no % 3 <> 1) select athlete_id, activity_id, round(median(gap), 6) as sampling_interval_seconds from p group by athlete_id, activity_id",
+        "sampling_interval": f"with {_STREAMS}, p as (select *, (time_s - lag(time_s) over (partition by activity_id order by time_s)) * (activity_id % 4 + 1) / 2 as gap from streams) select athlete_id, activity_id, round(median(gap), 6) as sampling_interval_seconds from p group by athlete_id, activity_id",
         "rolling_variation": f"""with {_STREAMS}, s as (select activity_id, seq_no, velocity_smooth as v, activity_id * 7 + 20 as k from streams),
 r as (select a.activity_id, a.seq_no, any_value(a.k) as k, count(*) as n, stddev_samp(b.v) / avg(b.v) as cv from s a join s b on a.activity_id = b.activity_id and b.seq_no between a.seq_no - cast(floor((a.k - 1) / 2.0) as bigint) and a.seq_no + cast(floor(a.k / 2.0) as bigint) group by a.activity_id, a.seq_no)
 select activity_id, seq_no, round(case when n = k then cv end, 6) as cv from r""",
         "steady_blocks": f"""with {_STREAMS}, s as (select activity_id, time_s, seq_no - row_number() over (partition by activity_id order by seq_no) as island from streams where velocity_smooth between 3 and 3.3)
 select activity_id, count(*) as n, round((max(time_s) - min(time_s)) / 60, 6) as minutes from s group by activity_id, island having count(*) >= 20""",
         "best_efforts": _best_efforts(),
-        "pb_progression": f"""with {_ACTS}, e as (select athlete_id, id as activity_id, date as activity_date, moving_time * cast(10000 as double) / distance as time_seconds from activities where date between date '2000-01-01' and date '2000-12-31' and distance >= 10000 and moving_time > 0),
+        "pb_progression": f"""with {_ACTS}, e as (select athlete_id, id as activity_id, date as activity_date, moving_time * cast(10000 as double) / distance as time_seconds from activities where distance >= 10000 and moving_time > 0),
 c as (select *, min(time_seconds) over (partition by athlete_id order by activity_date, activity_id rows between unbounded preceding and current row) as best from e)
 select athlete_id, activity_id, activity_date, cast(10000 as double) as distance, round(time_seconds, 6) as time_seconds, round(best, 6) as cumulative_pb_seconds, time_seconds = best as is_pb, '10k' as distance_label, 'moving' as time_basis from c""",
         "labels_and_periods": """select cast(distance as double) as distance, label, period from (values (1000.0, '1k', '4M 10S'), (5000.0, '5k', '20M 50S'), (10000.0, '10k', '41M 40S'), (21097.5, '21.1k', '1H 27M 54.38S'), (42195.0, 'Marathon', '2H 55M 48.75S'), (3000.0, '3000m', '12M 30S'), (400.0, '400m', '1M 40S')) as t(distance, label, period)""",

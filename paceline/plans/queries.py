@@ -99,7 +99,7 @@ def bootstrap_resample_fixed_starts(spark, sf_dir):
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    return ewma.calculate_acwr_ewma(activities(spark, sf_dir), TYPES, method="ewma", ci=True, B=50, start_date="2000-07-01", end_date=END)
+    return ewma.calculate_acwr_ewma(activities(spark, sf_dir), TYPES, method="ewma", ci=True, B=100, start_date=START, end_date=END)
 
 
 @query
@@ -114,7 +114,7 @@ def acwr_zones(spark, sf_dir):
 
 @query
 def history_warnings(spark, sf_dir):
-    loads = load.with_load(activities(spark, sf_dir).filter("type = '5-LOW' and sport = 'ASIA'"), "hrss", **HEART)
+    loads = load.with_load(activities(spark, sf_dir), "hrss", **HEART)
     return spine.history_warnings(loads, types=None, fetch_start=dt.date(1994, 12, 4), start=dt.date(1995, 1, 1), end=dt.date(1995, 6, 30), baseline_days=28)
 
 
@@ -137,7 +137,7 @@ def cohort_wide(spark, sf_dir):
 @query
 def cohort_overlay(spark, sf_dir):
     series = _series(spark, sf_dir)
-    return cohort.with_bands(series.filter("athlete_id = 3"), cohort.calculate_cohort_reference(series, by=None))
+    return cohort.with_bands(series, cohort.calculate_cohort_reference(series, by=None))
 
 
 @query
@@ -197,7 +197,7 @@ def hr_coverage(spark, sf_dir):
 
 @query
 def sampling_interval(spark, sf_dir):
-    return coverage.sampling_interval(streams(spark, sf_dir).filter("seq_no % 3 <> 1"))
+    return coverage.sampling_interval(streams(spark, sf_dir).withColumn("time_s", F.col("time_s") * (F.col("activity_id") % 4 + 1) / 2))
 
 
 @query
@@ -220,8 +220,8 @@ def best_efforts(spark, sf_dir):
 
 @query
 def pb_progression(spark, sf_dir):
-    """Records over a year of one effort per activity and priority."""
-    acts = activities(spark, sf_dir).filter("date >= '2000-01-01' and date <= '2000-12-31' and distance >= 10000 and moving_time > 0")
+    """Records over one effort per activity of 10 km or more, at its mean speed."""
+    acts = activities(spark, sf_dir).filter("distance >= 10000 and moving_time > 0")
     efforts = acts.select("athlete_id", F.col("id").alias("activity_id"), F.col("date").alias("activity_date"), F.lit(10000.0).alias("distance"), (F.col("moving_time") * F.lit(10000.0) / F.col("distance")).alias("time_seconds"))
     return pbs.progression(efforts).drop("elapsed_time", "moving_time", "time_period")
 
