@@ -14,6 +14,8 @@ _PUBLIC = {
     "operators.pbs": ("best_efforts", "calculate_pbs"),
     "operators.quality": ("flag_quality", "quality_summary", "summarize_quality"),
     "operators.cohort": ("calculate_cohort_reference", "cohort_reference"),
+    "checks": ("check_history", "described", "require_rows"),
+    "samples": ("sample_acwr", "sample_decoupling", "sample_ef", "sample_exposure", "sample_pbs"),
     "charts": (
         "add_reference_bands", "palette_nature", "palette_vibrant", "plot_acwr", "plot_acwr_comparison", "plot_acwr_enhanced",
         "plot_decoupling", "plot_ef", "plot_exposure", "plot_pbs", "plot_with_reference", "render", "theme",

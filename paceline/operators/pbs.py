@@ -92,6 +92,8 @@ def calculate_pbs(
     df = df if kinds is None else df.filter(F.col("type").isin(*kinds))
     if "filename" in df.columns:
         df = df.filter(F.col("filename") != "")
+    if "id" not in df.columns:
+        df = df.withColumn("id", F.monotonically_increasing_id())
     when = F.col("start_date_local") if "start_date_local" in df.columns else F.col("date")
     df = df.select(ATHLETE, F.col("id").alias(ACTIVITY), when.alias("activity_date"))
     wanted = normalized(streams).join(df.select(*KEYS), list(KEYS), "left_semi")
