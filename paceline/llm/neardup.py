@@ -6,9 +6,9 @@ keeps its earliest dart, so two signatures agree in a coordinate with the probab
 weighted Jaccard similarity.  Few darts beyond those needed are thrown, whatever the text's length.
 
 Texts with equal shingle multisets are one node.  Nodes that share a band are compared with
-one hub first, then with the node that looks nearest; only nodes still in another component
-than their bucket's largest are compared with all of the bucket, in blocks.  So no link
-between components is missed, and a group of n copies costs about n comparisons.
+one hub first; only nodes still in another component than their bucket's largest are then
+compared with all of the bucket, in blocks.  So no link between components is missed, and
+a group of n copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from .arrowtext import mix64, shingles, text_runs, words
 from .repeats import BATCH, batch_of, each, number, verdicts
 from .store import dropped, written
 
-BANDS, BAND_ROWS, SHINGLE = 32, 6, 5
+BANDS, BAND_ROWS, SHINGLE = 25, 5, 5
 _NODES = 1500
 _BLOCK = 1024
+_CELL_ROWS = 2000
+_BITS = 44
 _NOTHING = np.uint64(2**64 - 1)
 
 
@@ -37,61 +39,63 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def dart_signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows: int, k: int) -> np.ndarray:
     """n_rows x k signatures of weighted sets given as (row, element, weight) without repeats; a row of no weight is all ones.
 
-    An element's region is cut into strips of unit width, the last as wide as what remains.  In each strip darts come with
-    exponential gaps of rank; a dart outside a narrower strip does not count.  A row throws all darts up to the rank at which
-    k ln k + 2 k are expected, and goes on in steps of twice that rank while a coordinate is empty.
+    An element's region is cut into strips of unit width, the last as wide as what remains, and those into cells of unit rank.
+    In each cell darts come with exponential gaps of rank; a dart outside a narrower strip does not count.  A row throws all
+    darts up to the rank at which k ln k + 2 k are expected, and anew up to twice that rank while a coordinate is empty.
     """
     weight = np.asarray(weight, float)
     n_strips = np.ceil(weight).astype(np.int64)
-    of = np.repeat(np.arange(len(row)), n_strips)
-    level = np.arange(len(of)) - np.repeat(np.cumsum(n_strips) - n_strips, n_strips)
-    width = np.minimum(1.0, weight[of] - level)
     total = np.bincount(row, weight, n_rows)
-    with np.errstate(over="ignore", divide="ignore"):
-        seed = mix64(element[of] + level.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    with np.errstate(divide="ignore"):
         limit = (k * np.log(max(k, 2)) + 2 * k) / total
     out = np.full(n_rows * k, _NOTHING, np.uint64)
-    strip, rank, turn = np.arange(len(of)), np.zeros(len(of)), np.zeros(len(of), np.uint64)
-    rows = row[of]
-    while len(strip):
-        s = strip
-        r, t = rank[s], turn[s]
-        late = []
-        while len(s):
-            with np.errstate(over="ignore"):
-                h = mix64(seed[s] + t * np.uint64(0xE7037ED1A0B428DB) + np.uint64(1))
-            after = r - np.log(_unit(h))
-            hit = after <= limit[rows[s]]
-            late.append((s[~hit], r[~hit], t[~hit]))  # its next dart is beyond the limit: kept for a further step
-            s, r, h = s[hit], after[hit], h[hit]
-            t = t[hit] + np.uint64(1)
-            dart = mix64(h ^ np.uint64(0x8EBC6AF09C88C6E3))
-            inside = (width[s] >= 1) | (_unit(mix64(dart + np.uint64(7))) <= width[s])
-            place = rows[s] * k + (dart >> np.uint64(32)).astype(np.int64) % k
-            value = r.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | dart & np.uint64(0xFFFFFFFF)
-            np.minimum.at(out, place[inside], value[inside])
+    todo = np.arange(len(row))
+    while len(todo):
+        n_cells = np.ceil(limit[row[todo]]).astype(np.int64)
+        n = n_strips[todo] * n_cells
+        of = np.repeat(todo, n)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        cells = np.repeat(n_cells, n)
+        strip, cell = number // cells, number % cells
+        width, rows = weight[of] - strip, row[of]
+        with np.errstate(over="ignore"):
+            seed = mix64(element[of] + strip.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + cell.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+        rank, end = cell.astype(float), np.minimum(cell + 1.0, limit[rows])
+        while len(seed):
+            seed = mix64(seed + np.uint64(1))
+            rank = rank - np.log(_unit(seed))
+            hit = rank <= end
+            seed, rank, end, rows, width = seed[hit], rank[hit], end[hit], rows[hit], width[hit]
+            dart = mix64(seed ^ np.uint64(0x8EBC6AF09C88C6E3))
+            place = rows * k + ((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+            value = rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | dart & np.uint64(0xFFFFFFFF)
+            inside = width >= 1
+            if not inside.all():
+                inside |= _unit(mix64(dart + np.uint64(7))) <= width
+                place, value = place[inside], value[inside]
+            np.minimum.at(out, place, value)
         empty = (out.reshape(n_rows, k) == _NOTHING).any(1) & (total > 0)
-        if not empty.any():
-            break
-        limit = np.where(empty, limit * 2, limit)
-        s, r, t = (np.concatenate(x) for x in zip(*late))
-        again = empty[rows[s]]
-        strip = s[again]
-        rank[strip], turn[strip] = r[again], t[again]
+        limit = limit * 2
+        todo = np.flatnonzero(empty[row])
     return out.reshape(n_rows, k)
 
 
 def weighted_shingles(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, count) without repeats, by row and shingle."""
+    """(row, shingle, count) without repeats, by row and shingle; shingles are hashes of _BITS bits."""
     _, _, h, row = words(data, off)
     s, at = shingles(h, row, k)
-    of = np.repeat(np.arange(len(off) - 1), np.diff(at))
-    order = np.lexsort((s, of))
-    s, of = s[order], of[order]
+    s >>= np.uint64(64 - _BITS)
+    of = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(at))
+    if len(off) <= 1 << 64 - _BITS:
+        key = np.sort(of << np.uint64(_BITS) | s)
+        of, s = key >> np.uint64(_BITS), key & np.uint64((1 << _BITS) - 1)
+    else:  # very many rows in a run: nearly all are empty
+        order = np.lexsort((s, of))
+        s, of = s[order], of[order]
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
     head = np.flatnonzero(first)
-    return of[head], s[head], np.diff(np.append(head, len(s)))
+    return of[head].astype(np.int64), s[head], np.diff(np.append(head, len(s)))
 
 
 def _nodes_of(of: np.ndarray, s: np.ndarray, count: np.ndarray, n: int) -> list[bytes | None]:
@@ -116,10 +120,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def similarities(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], n: int) -> np.ndarray:
     """Weighted Jaccard similarity of row i of left and of right, each as from weighted_shingles()."""
-    of = np.concatenate([left[0], right[0]])
-    s = np.concatenate([left[1], right[1]])
-    count = np.concatenate([left[2], right[2]])
-    order = np.lexsort((s, of))
+    of, s, count = (np.concatenate([x, y]) for x, y in zip(left, right))
+    order = np.lexsort((s, of)) if n > 1 << 64 - _BITS else np.argsort(of.astype(np.uint64) << np.uint64(_BITS) | s, kind="stable")
     of, s, count = of[order], s[order], count[order]
     twice = np.flatnonzero((s[1:] == s[:-1]) & (of[1:] == of[:-1]))
     least = np.bincount(of[twice], np.minimum(count[twice], count[twice + 1]), n)
@@ -219,10 +221,10 @@ def _signatures(open_: DataFrame, texts: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_runs(batches):
             sig = dart_signatures(*weighted_shingles(data, off), len(off) - 1, BANDS * BAND_ROWS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "text", "sig"])
 
     wanted = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text")
-    return written(wanted.mapInArrow(sign, "node binary, sig binary"), "dup-signatures")
+    return written(wanted.mapInArrow(sign, "node binary, text string, sig binary"), "dup-signatures")
 
 
 def _cells(open_: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,8 +236,19 @@ def _cells(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     return lefts.unionByName(alls).drop("n_left", "n_all")
 
 
-def _matrix(part):
-    return np.frombuffer(b"".join(part.sig), np.uint64).reshape(-1, BANDS * BAND_ROWS)
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches in which the rows of a cell follow each other."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        cell = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+        turn = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist()]
+        for a, b in zip(turn, turn[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(turn[-1])
+    if held is not None and held.num_rows:
+        yield held
 
 
 def _promising(threshold: float) -> float:
@@ -243,95 +256,61 @@ def _promising(threshold: float) -> float:
     return threshold - 4 * (threshold * (1 - threshold) / (BANDS * BAND_ROWS)) ** 0.5
 
 
-def _nearest(open_: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """a, b: of each left node the node of another component whose signature is most like its own, if that is promising."""
-    least = _promising(threshold)
-
-    def compare(part):
-        import pandas as pd
-
-        a, b = part[part.side == 0], part[part.side == 1]
-        out = []
-        if len(a) and len(b):
-            x, y = _matrix(a), _matrix(b)
-            roots, names = b.root.to_numpy(), b.node.to_numpy()
-            for i, (node, root) in enumerate(zip(a.node, a.root)):
-                share = np.where(roots != root, (x[i] == y).mean(1), 0.0)
-                q = int(share.argmax())
-                if share[q] >= least:
-                    out.append((node, names[q], share[q]))
-        return pd.DataFrame(out, columns=["a", "b", "share"])
-
-    found = _cells(open_, signed).groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary, share double")
-    return found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+def _cell_links(cell: pa.Table, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links of a cell, the most alike pairs first; components that the cell has joined are not compared again."""
+    side = cell.column("side").to_numpy()
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint64).reshape(-1, BANDS * BAND_ROWS)
+    bands = band_keys(sig)
+    band = int(np.flatnonzero((bands == np.int64(cell.column("key")[0].as_py()).view(np.uint64)).any(0))[0])
+    names, roots, left = (cell.column(c).to_pylist() for c in ("node", "root", "left"))
+    least, out, joined, sets = _promising(threshold), [], {}, {}
+
+    def top(r: bytes) -> bytes:
+        while r in joined:
+            r = joined[r]
+        return r
+
+    def shingle_set(at: int) -> tuple[np.ndarray, ...]:
+        if at not in sets:
+            raw = np.frombuffer(cell.column("text")[at].as_py().encode(), np.uint8)
+            sets[at] = weighted_shingles(raw, np.array([0, len(raw)]))
+        return sets[at]
+
+    for i in one.tolist():
+        share = (sig[i] == sig[two]).mean(1)
+        ok = (share >= least) & ~(bands[i, :band] == bands[two, :band]).any(1)
+        for at in sorted(np.flatnonzero(ok).tolist(), key=lambda x: -share[x]):
+            q = int(two[at])
+            if left[q] and names[i] >= names[q] or top(roots[i]) == top(roots[q]):
+                continue
+            if similarities(shingle_set(i), shingle_set(q), 1)[0] >= threshold:
+                out.append((names[i], names[q]))
+                joined[top(roots[i])] = top(roots[q])
+    return out
 
 
-def _links(open_: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a, b: verified links that join the components of each bucket.
 
     Left nodes meet all nodes of their bucket, in blocks; a pair that shares several bands belongs to the first.  What signatures
-    leave open is verified exactly, the most alike first, and not at all once the two components are joined in the cell.
-    """
-    least = _promising(threshold)
-
-    def compare(part):
-        import pandas as pd
-
-        a, b = part[part.side == 0], part[part.side == 1]
-        out = []
-        if len(a) and len(b):
-            x, y = _matrix(a), _matrix(b)
-            key = np.int64(part.key.iloc[0]).view(np.uint64)
-            bx, by = band_keys(x), band_keys(y)
-            band = int(np.flatnonzero((bx == key).any(0))[0])
-            left, names = b.left.to_numpy(), b.node.to_numpy()
-            joined: dict[bytes, bytes] = {}
-
-            def top(r: bytes) -> bytes:
-                while r in joined:
-                    r = joined[r]
-                return r
-
-            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-            def shingle_set(side: int, at: int) -> tuple[np.ndarray, np.ndarray]:
-                if (got := sets.get(2 * at + side)) is None:
-                    raw = np.frombuffer((b if side else a).text.iloc[at].encode(), np.uint8)
-                    got = sets[2 * at + side] = weighted_shingles(raw, np.array([0, len(raw)]))[1:]
-                return got
-
-            for i, (node, root) in enumerate(zip(a.node, a.root)):
-                share = (x[i] == y).mean(1)
-                ok = (share >= least) & ~(bx[i, :band] == by[:, :band]).any(1)
-                for q in sorted(np.flatnonzero(ok), key=lambda q: -share[q]):
-                    if top(root) == top(b.root.iloc[q]) or left[q] and node >= names[q]:
-                        continue
-                    one, two = shingle_set(0, i), shingle_set(1, int(q))
-                    zeros = lambda z: (np.zeros(len(z[0]), np.int64), *z)
-                    if similarities(zeros(one), zeros(two), 1)[0] >= threshold:
-                        out.append((node, names[q]))
-                        joined[top(root)] = top(b.root.iloc[q])
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    nodes = signed.join(texts.select("node", "text"), "node")
-    return _cells(open_, nodes).groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
-
-
-def _linked(buckets: DataFrame, first: DataFrame, texts: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
-    """Verified links by which all nodes of a bucket that are linked at all are in one component.
-
-    Hubs first, then in each round the nearest node of another component; what is still apart is settled by _links().
+    leave open is verified exactly.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(batches):
+            if found := _cell_links(cell, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], names=["a", "b"])
+
+    cells = _cells(open_, _signatures(open_, texts))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // _CELL_ROWS)
+    return cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node").mapInArrow(run, "a binary, b binary")
+
+
+def _linked(buckets: DataFrame, first: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Verified links by which all nodes of a bucket that are linked at all are in one component: those to hubs, then _links()."""
     linked = written(_verified(first, texts, threshold), "dup-linked")
-    signed = None
-    for k in range(rounds + 1):
-        open_ = _open(buckets, components(linked))
-        if open_.isEmpty():
-            return linked
-        signed = signed if signed is not None else _signatures(open_, texts)
-        more = _verified(_nearest(open_, signed, threshold), texts, threshold) if k < rounds else _links(open_, signed, texts, threshold)
-        linked = written(linked.union(more), "dup-linked")
-    return linked
+    open_ = _open(buckets, components(linked))
+    return linked if open_.isEmpty() else written(linked.union(_links(open_, texts, threshold)), "dup-linked")
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> DataFrame:

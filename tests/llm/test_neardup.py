@@ -70,19 +70,12 @@ def frame(spark, rows):
 def test_classes_against_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(neardup, "_BLOCK", block)
     monkeypatch.setattr(neardup, "_NODES", 30)
+    monkeypatch.setattr(neardup, "_CELL_ROWS", 50)
     rows = corpus(seed)
     got = sorted(((r.doc_id, r.class_id) for r in neardup.report(frame(spark, rows)).collect()), key=str)
     assert got == brute(rows)
 
 
-def test_what_rounds_leave_apart_is_settled_exactly(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "_BLOCK", 5)
-    monkeypatch.setattr(neardup._linked, "__defaults__", (0,))  # no rounds of nearest nodes
-    rows = corpus(5)
-    got = sorted(((r.doc_id, r.class_id) for r in neardup.report(frame(spark, rows)).collect()), key=str)
-    assert got == brute(rows)
-
-
 def test_one_row_of_each_class_stays(spark):
     rows = corpus(3)
     df = frame(spark, rows)
