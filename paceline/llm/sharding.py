@@ -108,8 +108,9 @@ def shards(docs: DataFrame, *, n_shards: int = 40, seed: int = 23, keep: tuple[s
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id", *[F.col(c) for c in keep], (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(text)).alias("_key"))
+        "doc_id", *[F.col(c) for c in keep], (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("_text"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(F.lit(1)))  # repeated rows, as of a mix, go their own ways
+    rows = rows.withColumn("_copy", copy).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "_text", "_copy")).drop("_text", "_copy")
     rows = written(rows, "shard-rows")
     n = rows.count()
     bits = max(0, (max(1, n // _ROWS_PER_BLOCK) - 1).bit_length())

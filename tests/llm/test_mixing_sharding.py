@@ -90,6 +90,12 @@ def test_shards_are_exact_and_gapless(spark, monkeypatch, rows_per_block, n_shar
     assert sharding.shards(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    rows = [(1, "same text", "a", "x")] * 300 + [(i, f"t{i}", "a", "x") for i in range(2, 302)]
+    got = sharding.shards(frame(spark, rows), n_shards=10).filter("doc_id = 1").groupBy("shard").count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 60
+
+
 def test_hypergeometric_has_its_moments(spark):
     for pop, good, drawn in ((50, 20, 12), (1000, 25, 500), (7, 7, 3), (9, 0, 4), (100000, 2500, 4096)):
         u = (F.col("id") + 0.5) / 2000
