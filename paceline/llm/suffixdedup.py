@@ -123,7 +123,7 @@ def removed(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: s
             yield batch_of([number(k)], [{
                 "doc": part.column(0).to_pylist(), "size": np.diff(off), "sha": [hashlib.sha256(raw[a:b]).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())],
                 "row": row.astype(np.int32), "place": (place - off[row]).astype(np.int32), "lo": lo.astype(np.int16 if width < 32000 else np.int32), "hi": hi.astype(np.int16 if width < 32000 else np.int32),
-                "core": grams[place], "span": _refined(span, (lo * width + hi).astype(np.uint64)),
+                "core": mix64(grams[place]), "span": _refined(span, (lo * width + hi).astype(np.uint64)),
             }])
 
     def settle(_: int, p: dict, state: np.ndarray) -> Iterator[pa.RecordBatch]:
