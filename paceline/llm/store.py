@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: rows may hold packed arrays; small row groups keep a reader's batch small
 _ROW_GROUP = 16 << 20
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where unset (tests on one machine), a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="paceline-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN[app] if app in _OWN else _OWN.setdefault(app, tempfile.mkdtemp(prefix="paceline-shared-"))
     return path.rstrip("/")
 
 
