@@ -299,3 +299,20 @@ def identified(docs: DataFrame, *, min_score: float = 0.3) -> DataFrame:
     """The rows of docs whose language is found with at least min_score, with their own columns; "und" goes."""
     found = predict(docs, train(docs.filter(~held_out("doc_id", 4, 2))), out="_language")
     return found.filter((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= min_score)).drop("_language")
+
+
+def label_positions(text: str, model: Model) -> list[tuple[int, int, str]]:
+    """(first byte, past the last byte, language) of maximal runs of positions with one label; bytes outside letters have none."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    s, e, _, _ = words(data, np.array([0, len(data)]), LETTER_BYTE)
+    if not len(s) or not model.languages:
+        return []
+    start = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(s, e)])
+    length = np.minimum(PIECE, np.repeat(e, -(-(e - s) // PIECE)) - start)
+    order = np.argsort(-length, kind="stable")
+    logp, base = positions(model, CODE[LETTER_BYTE[data]], start[order], length[order])
+    label = np.full(len(data), -1)
+    for a, n, b in zip(start[order], length[order], base):
+        label[a : a + n] = logp[b : b + n].argmax(1)
+    edge = np.flatnonzero(np.diff(label, prepend=-2, append=-2))
+    return [(int(a), int(b), model.languages[label[a]]) for a, b in zip(edge, edge[1:]) if label[a] >= 0]

@@ -76,3 +76,13 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert langid.report(df.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, "kato")], "doc_id long, text string").selectExpr("*", "cast(null as string) lang")
     assert [(r.lang_pred, r.score) for r in langid.report(nothing).collect()] == [("und", 0.0)]
+
+
+def test_every_letter_position_has_a_label():
+    model = langid._new_model(["a", "b"], 4, 2)
+    text = "heisenberg, " + "é" * 45 + " 12 x"
+    spans = langid.label_positions(text, model)
+    covered = sorted(i for a, b, _ in spans for i in range(a, b))
+    raw = text.encode()
+    assert covered == [i for i, x in enumerate(raw) if langid.LETTER_BYTE[x]] and {k for *_, k in spans} <= {"a", "b"}
+    assert langid.label_positions("12 !", model) == []
