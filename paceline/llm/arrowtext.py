@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

@@ -20,7 +20,7 @@ from .arrowtext import WORD_BYTE, text_runs, words
 
 UNKNOWN = "und"
 PIECE = 40
-_RUN_BYTES = 6 << 20
+_RUN_BYTES = 3 << 20
 _CACHE = 400_000
 
 LETTER_BYTE = WORD_BYTE.copy()
