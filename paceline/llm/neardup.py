@@ -202,6 +202,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         roots = fresh.drop("old")
         roots._written_path = fresh._written_path
         if not moved:
+            dropped(both)
             return roots
     raise RuntimeError("components did not settle")
 
@@ -290,7 +291,7 @@ def _cell_links(cell: pa.Table, threshold: float) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def _links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _links(open_: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """a, b: verified links that join the components of each bucket.
 
     Left nodes meet all nodes of their bucket, in blocks; a pair that shares several bands belongs to the first.  What signatures
@@ -301,16 +302,25 @@ def _links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             if found := _cell_links(cell, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], names=["a", "b"])
 
-    cells = _cells(open_, _signatures(open_, texts))
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // _CELL_ROWS)
+    cells = _cells(open_, signed)
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // _CELL_ROWS)
     return cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node").mapInArrow(run, "a binary, b binary")
 
 
 def _linked(buckets: DataFrame, first: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified links by which all nodes of a bucket that are linked at all are in one component: those to hubs, then _links()."""
-    linked = written(_verified(first, texts, threshold), "dup-linked")
-    open_ = _open(buckets, components(linked))
-    return linked if open_.isEmpty() else written(linked.union(_links(open_, texts, threshold)), "dup-linked")
+    hubs = written(_verified(first, texts, threshold), "dup-linked")
+    roots = components(hubs)
+    open_ = _open(buckets, roots)
+    dropped(roots)
+    if open_.isEmpty():
+        dropped(open_)
+        return hubs
+    signed = _signatures(open_, texts)
+    linked = written(hubs.union(_links(open_, signed, threshold)), "dup-linked")
+    for used in (hubs, open_, signed):
+        dropped(used)
+    return linked
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> DataFrame:
@@ -336,11 +346,14 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> D
     named = lambda d: F.coalesce(d.cast("string"), F.lit("-"))
     wanted = wanted.select("node", F.col("first.hash").alias("hash"), named(F.col("first.doc")).alias("name"))
     texts = rows.withColumn("name", named(F.col("doc"))).join(wanted, ["hash", "name"]).select("node", "text")
-    texts = written(texts, "dup-texts")
+    texts = kept = written(texts, "dup-texts")
     repeated = texts.groupBy("node").count().filter("count > 1").limit(1).count()
     if repeated:  # rows repeated with their ids
         texts = texts.dropDuplicates(["node"])
-    roots = components(_linked(buckets, first, texts, threshold))
+    linked = _linked(buckets, first, texts, threshold)
+    roots = components(linked)
+    for used in (buckets, first, kept, linked):
+        dropped(used)
     of = nodes.select("node", F.col("first.doc").alias("doc")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc").alias("class_id"))
     member = of.join(least, "root").select("node", "class_id")
