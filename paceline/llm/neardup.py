@@ -324,11 +324,12 @@ def _linked(buckets: DataFrame, first: DataFrame, texts: DataFrame, threshold: f
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> DataFrame:
-    """doc, hash, node, class_id of every row: class_id is the least doc_id of the rows linked to it, directly or through others.
+    """doc, hash, node, root, class_id of every row: class_id is the least doc_id of the rows linked to it, directly or through others.
 
     Rows are linked if the multisets of their shingles of five words (of all words, if there are fewer) have a weighted Jaccard
     similarity of `threshold` or more.  Rows without words, null texts among them, are alone.  The least of no but null ids is
     null.  Retrieval finds a pair of similarity 0.8 with probability 0.9999; what it finds is verified exactly.
+    Ids may be null or repeated, so class_id does not tell classes apart; root, the least node of the class, does (null without words).
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _rows(docs, text)
@@ -356,7 +357,7 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> D
         dropped(used)
     of = nodes.select("node", F.col("first.doc").alias("doc")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc").alias("class_id"))
-    member = of.join(least, "root").select("node", "class_id")
+    member = of.join(least, "root").select("node", "root", "class_id")
     return signed.select("doc", "hash", "node").join(member, "node", "left").withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")))
 
 
@@ -369,7 +370,7 @@ def deduplicated(docs: DataFrame, *, threshold: float = 0.8, text: str = "text")
     """One row of each class, the one with the least id, with its own columns; rows without words all stay."""
     named = F.coalesce(F.col("doc").cast("string"), F.lit("-"))
     found = written(classes(docs, threshold=threshold, text=text).withColumn("name", named), "dup-classes")
-    keep = found.filter("node is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash", "name")).alias("k")).select("k.name", "k.hash", F.lit(1).alias("_most"))
+    keep = found.filter("node is not null").groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash", "name")).alias("k")).select("k.name", "k.hash", F.lit(1).alias("_most"))
     lone = found.filter("node is null").select("name", "hash").distinct().withColumn("_most", F.lit(None).cast("int"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumns({"_name": F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_hash": F.xxhash64(body)})

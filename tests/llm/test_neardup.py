@@ -89,6 +89,13 @@ def test_one_row_of_each_class_stays(spark):
     assert neardup.deduplicated(df.limit(0)).count() == 0 and neardup.report(df.limit(0)).count() == 0
 
 
+def test_other_texts_under_null_or_repeated_ids_all_stay(spark):
+    text = lambda i: " ".join(f"t{i}x{j}" for j in range(20))
+    rows = [(None, text(i)) for i in range(6)] + [(7, text(10)), (7, text(11)), (8, text(11)), (None, text(2)), (None, text(10)), (9, None)]
+    got = [(r.doc_id, r.text) for r in neardup.deduplicated(frame(spark, rows)).collect()]
+    assert Counter(got) == Counter([(None, text(i)) for i in range(6)] + [(7, text(10)), (7, text(11)), (9, None)])
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 40, dtype=np.uint64)
