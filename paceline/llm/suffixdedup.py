@@ -200,4 +200,6 @@ def removed(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: s
     third = written(each(verdicts(second, buckets), narrow, BATCH, buckets), "suffix-strings")
     dropped(second)
     rest = each(verdicts(third, buckets), finish, result, buckets)
-    return settled.filter(F.col("info").isNull()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(rest)
+    going = settled.filter(F.col("info").isNotNull()).select(key(F.lower(F.hex("sha"))).alias("key"))
+    done = settled.filter(F.col("info").isNull()).withColumn("key", key(F.lower(F.hex("sha")))).join(going, "key", "left_anti")  # copies of open rows are in `rest`
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(rest)

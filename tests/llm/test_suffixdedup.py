@@ -52,6 +52,15 @@ def test_against_brute_force(spark, length, alphabet, longest):
     assert run(spark, rows, length=length) == brute(rows, length)
 
 
+def test_repeated_rows_come_out_as_often_as_they_went_in(spark):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    near = lambda t: t[:700] + "#" + t[701:]
+    one, other = text(), text()
+    rows = [(1, one)] * 3 + [(None, other)] * 2 + [(2, near(one)), (None, near(other)), (3, text()), (3, "short"), (3, "short")]
+    assert run(spark, rows) == brute(rows, 400)
+
+
 def test_many_batches_and_no_rows(spark, monkeypatch):
     rows = corpus(9, "abcdefgh ", 900)
     import paceline.llm.arrowtext as at
