@@ -136,7 +136,8 @@ def fit(pieces: list[bytes], label: np.ndarray, languages: list[str], *, hidden:
     by = [x for x in by if len(x)]
     m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(x, max(1, batch // len(by))) for x in by])
+        now = by if len(by) <= batch else [by[i] for i in rng.choice(len(by), batch, replace=False)]
+        pick = np.concatenate([rng.choice(x, max(1, batch // len(by))) for x in now])
         pick = pick[np.argsort([-len(pieces[i]) for i in pick], kind="stable")]
         codes, length = _padded([pieces[i] for i in pick])
         _, g = _gradients(w, codes, length, label[pick])
@@ -176,16 +177,22 @@ def _piece_sums(model: Model, data: np.ndarray, s: np.ndarray, e: np.ndarray) ->
     codes = CODE[LETTER_BYTE[data]]
     n_lang = len(model.languages)
     out = np.zeros((len(s), 2 * n_lang + 1))
-    for at in range(0, len(order), 16384):
-        part = order[at : at + 16384]
+    block = min(16384, max(256, (1 << 18) // n_lang))
+    for at in range(0, len(order), block):
+        part = order[at : at + block]
         logp, base = positions(model, codes, start[part], length[part])
         sums = np.concatenate([np.add.reduceat(logp, base, axis=0), np.add.reduceat(np.exp(logp), base, axis=0), length[part][:, None]], 1)
         np.add.at(out, of[part], sums)
     return out
 
 
+def _few(limit: int, n_lang: int) -> int:
+    """The limit for up to 16 languages; for more, so much less that results of as many numbers stay."""
+    return limit * 16 // max(16, n_lang)
+
+
 class _Pool:
-    """Pooled sums of rows; results of pieces already seen stay, up to _CACHE of them."""
+    """Pooled sums of rows; results of pieces already seen stay, up to _CACHE of them (fewer for over 16 languages, so memory does not follow their number)."""
 
     def __init__(self, model: Model):
         self.model, self.keys, self.values = model, np.zeros(0, np.uint64), np.zeros((0, 2 * len(model.languages) + 1))
@@ -204,7 +211,7 @@ class _Pool:
         if len(new):
             values[new] = _piece_sums(self.model, data, s[first[new]], e[first[new]])
             short = new[(e - s)[first[new]] <= PIECE]
-            if len(self.keys) + len(short) > _CACHE:
+            if len(self.keys) + len(short) > _few(_CACHE, len(self.model.languages)):
                 self.keys, self.values = keys, values
             else:
                 at = np.searchsorted(self.keys, keys[short])
@@ -218,14 +225,14 @@ def _letters(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 400, sample_pieces: int = 60, max_languages: int = 256, **options) -> Model:
-    """A model of the languages in `lang` (rows with null there are not learned from), at most max_languages, the most frequent.
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 400, sample_pieces: int = 60, **options) -> Model:
+    """A model of all languages in `lang` (rows with null there are not learned from).
 
     Learns from a bounded sample: about sample_docs rows of each language, by hash of `key`, and of each row sample_pieces runs of
     letters at even distances over the whole text.  The sample is what the driver gets: under 4 KB a row.
     """
     docs = docs.filter(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = docs.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    counts = docs.groupBy("l").count().orderBy(F.desc("count"), "l").collect()
     languages = sorted(r.l for r in counts)
     if not languages:
         return _new_model([], 1, 0)
@@ -262,7 +269,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", out: str = "la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _Pool(shared.value)
-        for part, data, off in text_runs(batches, text, _RUN_BYTES):
+        for part, data, off in text_runs(batches, text, _few(_RUN_BYTES, n_lang)):
             sums = pool.rows(data, off) if n_lang else np.zeros((part.num_rows, 1))
             ascii_letter = np.concatenate([[0], np.cumsum((LETTER_BYTE[data] != 0) & (data < 0x80))])
             some = ascii_letter[off[1:]] > ascii_letter[off[:-1]]

@@ -78,6 +78,14 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert [(r.lang_pred, r.score) for r in langid.report(nothing).collect()] == [("und", 0.0)]
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"kato {'abcdefghijklmnopqrst'[i % 20] * 3}", f"l{i % 400:03}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = langid.train(df, steps=2)
+    assert model.languages == sorted({r[2] for r in rows})
+    assert {r.language.lang for r in langid.predict(df, model).collect()} <= set(model.languages)
+
+
 def test_every_letter_position_has_a_label():
     model = langid._new_model(["a", "b"], 4, 2)
     text = "heisenberg, " + "é" * 45 + " 12 x"
