@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; texts that are null or have no letter go."""
+    """Documents whose language is found, whatever its score; only texts that are null or have no letter go."""
     return langid.identified(docs)
 
 

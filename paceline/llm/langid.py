@@ -302,10 +302,10 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-def identified(docs: DataFrame, *, min_score: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is found with at least min_score, with their own columns; "und" goes."""
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language is found, whatever its score, with their own columns; "und" goes: null texts and texts without a letter."""
     found = predict(docs, train(docs.filter(~held_out("doc_id", 4, 2))), out="_language")
-    return found.filter((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= min_score)).drop("_language")
+    return found.filter(F.col("_language.lang") != UNKNOWN).drop("_language")
 
 
 def label_positions(text: str, model: Model) -> list[tuple[int, int, str]]:

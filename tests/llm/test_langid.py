@@ -86,6 +86,13 @@ def test_every_label_is_learned(spark):
     assert {r.language.lang for r in langid.predict(df, model).collect()} <= set(model.languages)
 
 
+def test_a_low_score_drops_no_document(spark):
+    rows = [(i, "kato miru tan", f"l{i % 6}") for i in range(120)]
+    more = [(500, None, "l1"), (501, "12 !", "l1")]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.identified(df).collect()) == list(range(120))
+
+
 def test_every_letter_position_has_a_label():
     model = langid._new_model(["a", "b"], 4, 2)
     text = "heisenberg, " + "é" * 45 + " 12 x"
