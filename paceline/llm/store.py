@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: rows may hold packed arrays; small row groups keep a reader's batch small
 _ROW_GROUP = 16 << 20
+#: a table is written by one execution, so its shuffle files are of no use after that
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where unset (tests on one machine), a temporary folder."""
+    """spark.checkpoint.dir of the session.  Unset, a session of one process gets a folder of its own, which goes when it ends;
+    on a cluster there is no folder to guess that all machines see: an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
+    if not path and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         app = spark.sparkContext.applicationId
-        path = _OWN[app] if app in _OWN else _OWN.setdefault(app, tempfile.mkdtemp(prefix="paceline-shared-"))
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="paceline-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        path = _OWN[app]
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -25,14 +36,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder, read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a written() table that nothing reads any more."""
-    spark, path = df.sparkSession, df._written_path
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written_path
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
