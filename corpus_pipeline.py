@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paceline.llm import decontaminate, langid, mixing, neardup, sharding
-from paceline.llm.store import written
+from paceline.llm.store import dropped, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without windows of two or more benchmark items."""
-    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without a passage of any benchmark item: no window of eight words (or whole shorter item of five or more) occurs."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row of the mix."""
+    """The shard and slot of each row of the mix, with source, lang and n_chars; texts are not carried along."""
     return sharding.shards(docs, keep=("source", "lang", "n_chars"))
 
 
@@ -53,7 +53,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; each stage's table is deleted once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            dropped(before)
+        before = docs
+    out = written(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")
+    dropped(docs)
+    return out
