@@ -17,7 +17,7 @@ CHUNK_BYTES = 2 << 20
 _BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20240607)
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 2**64))
 _SLOT_CODE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -74,7 +74,8 @@ def text_runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: in
                 yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
     if len(_POWERS.get("p", ())) < n:
         with np.errstate(over="ignore"):
             for key, base in (("p", _P), ("q", _P_INV)):
@@ -94,10 +95,10 @@ def _block_words(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tup
     first[breaks] = inside[breaks]
     last[breaks - 1] = inside[breaks - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, q = _powers(max(len(data) + 1, 1 << 16))
+    p, q = powers(max(len(data) + 1, 1 << 16))
     with np.errstate(over="ignore"):
         acc = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[low] * p[: len(data)] * inside, out=acc[1:])
+        np.cumsum(BYTE_CODE[low] * p[: len(data)] * inside, out=acc[1:])
         h = mix64((acc[e] - acc[s]) * q[s] + (e - s).astype(np.uint64))
     return s, e, h
 

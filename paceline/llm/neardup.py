@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from .arrowtext import mix64, shingles, text_runs, words
-from .repeats import BATCH, batch_of, each, number, verdicts
+from .repeats import BATCH, batch_of, each, number
 from .store import dropped, written
 
 BANDS, BAND_ROWS, SHINGLE = 25, 5, 5
@@ -150,7 +150,7 @@ def _signed(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, f"doc {kind}, hash long, node binary, bands binary"), "dup-signed")
 
 
-def _buckets(nodes: DataFrame, parts: int) -> DataFrame:
+def _buckets(nodes: DataFrame) -> DataFrame:
     """key, node: the nodes of each band key that more than one node has."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = 0
@@ -158,7 +158,7 @@ def _buckets(nodes: DataFrame, parts: int) -> DataFrame:
             for at in range(0, batch.num_rows, _NODES):
                 part = batch.slice(at, _NODES)
                 names, bands = part.column(0).to_pylist(), part.column(1).to_pylist()
-                yield batch_of([number(counter)], [{"names": names, "span": np.frombuffer(b"".join(bands), np.uint64), "core": None}])
+                yield batch_of(number(counter), {"names": names, "span": np.frombuffer(b"".join(bands), np.uint64), "core": None})
                 counter += 1
 
     def unpack(_: int, payload: dict, state: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def _buckets(nodes: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(payload["span"][at].view(np.int64)), names.take(pa.array(at // BANDS))], names=["key", "node"])
 
     packed = written(nodes.select("node", "bands").mapInArrow(pack, BATCH), "dup-bands")
-    out = written(each(verdicts(packed, parts), unpack, "key long, node binary", parts), "dup-buckets")
+    out = written(each(packed, unpack, "key long, node binary"), "dup-buckets")
     dropped(packed)
     return out
 
@@ -331,12 +331,11 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> D
     null.  Retrieval finds a pair of similarity 0.8 with probability 0.9999; what it finds is verified exactly.
     Ids may be null or repeated, so class_id does not tell classes apart; root, the least node of the class, does (null without words).
     """
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _rows(docs, text)
     signed = _signed(rows)
     last = F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")
     nodes = written(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(last).alias("first"), F.max("bands").alias("bands")), "dup-nodes")
-    buckets = _buckets(nodes, parts)
+    buckets = _buckets(nodes)
     size = buckets.groupBy("key").agg(F.count("*").alias("n"))
     near = buckets.join(size, "key")
     score = near.groupBy("node").agg(F.sum("n").alias("score"))

@@ -54,7 +54,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.removed(_read(spark, sf_dir, "documents"))
+    return suffixdedup.report(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
