@@ -17,16 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
 from .arrowtext import mix64, shingles, text_runs, words
 from .repeats import BATCH, batch_of, each, number
-from .store import dropped, written
+from .store import dropped, unused, written
 
 BANDS, BAND_ROWS, SHINGLE = 25, 5, 5
 _NODES = 1500
 _BLOCK = 1024
 _CELL_ROWS = 2000
+_SALTS = 64
+#: a byte of a word
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _BITS = 44
 _NOTHING = np.uint64(2**64 - 1)
 
@@ -150,8 +153,15 @@ def _signed(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, f"doc {kind}, hash long, node binary, bands binary"), "dup-signed")
 
 
+def _told(rows: DataFrame, facts: DataFrame, on: str, by: str) -> DataFrame:
+    """rows joined with facts, which has one row for each value of `on`.  The rows of a frequent value meet in up to _SALTS tasks,
+    by the hash of `by`; a value of few rows is looked up as often as it has rows, at most."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(_SALTS)).cast("int"))
+    return rows.join(rows.select(on, "_salt").distinct().join(facts, on), [on, "_salt"]).drop("_salt")
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """key, node: the nodes of each band key that more than one node has."""
+    """key, node, score: the nodes of each band key that more than one node has; a node's score is the sum of the sizes of its buckets, nearly."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = 0
         for batch in batches:
@@ -162,49 +172,77 @@ def _buckets(nodes: DataFrame) -> DataFrame:
                 counter += 1
 
     def unpack(_: int, payload: dict, state: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(state)
+        at = np.flatnonzero(state & 1)
         if len(at):
             names = pa.array(payload["names"], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(payload["span"][at].view(np.int64)), names.take(pa.array(at // BANDS))], names=["key", "node"])
+            score = np.bincount(at // BANDS, 2.0 ** ((state[at] >> 2) / 2), len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(payload["span"][at].view(np.int64)), names.take(pa.array(at // BANDS)), pa.array(score[at // BANDS])], names=["key", "node", "score"])
 
     packed = written(nodes.select("node", "bands").mapInArrow(pack, BATCH), "dup-bands")
-    out = written(each(packed, unpack, "key long, node binary"), "dup-buckets")
+    out = written(each(packed, unpack, "key long, node binary, score double"), "dup-buckets")
     dropped(packed)
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have the similarity, exactly."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, off in text_runs(iter([batch]), "text"):
-                n = part.num_rows
-                for _, other, at in text_runs(iter([part]), "text_b", 1 << 62):
-                    same = similarities(weighted_shingles(data, off), weighted_shingles(other, at), n) >= threshold
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(same))
+def _alike(of: np.ndarray, s: np.ndarray, count: np.ndarray, n: int, hub: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarity of each of n rows, given as from weighted_shingles(), with one multiset."""
+    known, times = hub
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    both = np.bincount(of, np.where(known[at] == s, np.minimum(count, times[at]), 0), n)
+    return both / np.maximum(np.bincount(of, count, n) + times.sum() - both, 1)
 
-    left = pairs.join(texts.withColumnRenamed("node", "a"), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text", "text_b")
-    return both.mapInArrow(run, "a binary, b binary")
 
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, its hub b) whose texts have the similarity, exactly.
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """node, root: the least node reached from each node of the edges (a, b); by least neighbours and shortcuts, to a fixed point."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "dup-edges")
+    The rows of a hub are dealt to blocks of about _BLOCK rows; the hub's text goes once to each block, before its rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
+        for part, data, off in text_runs(batches, "text"):
+            of, s, count = weighted_shingles(data, off)
+            at = np.searchsorted(of, np.arange(part.num_rows + 1))
+            heads = [*np.flatnonzero(part.column("a").is_null().to_numpy(zero_copy_only=False)).tolist(), part.num_rows]
+            ok = np.zeros(part.num_rows, bool)
+            for i, j in zip([-1, *heads], heads):  # rows i + 1 to j - 1 are of the hub in row i, or of the last one
+                if i >= 0:
+                    hub = s[at[i] : at[i + 1]], count[at[i] : at[i + 1]]
+                if j > i + 1:
+                    x = slice(at[i + 1], at[j])
+                    ok[i + 1 : j] = _alike(of[x] - (i + 1), s[x], count[x], j - i - 1, hub) >= threshold
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    rows = _told(pairs, blocks, "b", "a").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("blocks")
+    rows = rows.join(texts.withColumnRenamed("node", "a"), "a").select("b", "block", "a", "text")
+    hubs = blocks.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("a"), "text")
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // _CELL_ROWS)
+    dealt = rows.unionByName(hubs).repartition(parts, "b", "block").sortWithinPartitions("b", "block", F.asc_nulls_first("a"))
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node reached from each node of the edges (a, b); by least neighbours and shortcuts, to a fixed point.
+
+    Roots only fall, so it ends; there is no other bound on the rounds.  Nodes of many edges, and roots of many nodes, are split.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    both = written(both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(_SALTS)).cast("int")), "dup-edges")
+    ends = written(both.select("b", "salt").distinct(), "dup-ends")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "dup-roots")
-    for _ in range(rounds):
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("near"))
-        least = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+    while True:
+        of_b = ends.join(roots.select(F.col("node").alias("b"), "root"), "b")
+        near = both.join(of_b, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        least = written(roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid")), "dup-least")
         jump = roots.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        fresh = written(least.join(jump, "mid").select("node", F.least("mid", "far").alias("root"), "old"), "dup-roots")
-        moved = fresh.filter("root != old").limit(1).count()
-        dropped(roots)
+        fresh = written(_told(least, jump, "mid", "node").select("node", F.least("mid", "far").alias("root"), "old"), "dup-roots")
+        dropped(roots, least)
         roots = fresh.drop("old")
         roots._written_path = fresh._written_path
-        if not moved:
-            dropped(both)
+        if fresh.filter("root != old").isEmpty():
+            dropped(both, ends)
             return roots
-    raise RuntimeError("components did not settle")
 
 
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -214,7 +252,7 @@ def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     by = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = by.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max("n").alias("most")).filter("roots > 1")
     blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
-    rows = rows.join(main, "key").withColumn("left", F.col("root") != F.col("main"))
+    rows = _told(rows.drop("score"), main, "key", "node").withColumn("left", F.col("root") != F.col("main"))
     return written(rows.select("key", "node", "root", "left", blocks(F.col("n") - F.col("most")).alias("n_left"), blocks(F.col("n")).alias("n_all")), "dup-open")
 
 
@@ -303,7 +341,8 @@ def _links(open_: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], names=["a", "b"])
 
     cells = _cells(open_, signed)
-    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // _CELL_ROWS)
+    n = open_.agg(F.sum(F.col("n_left") + F.when(F.col("left"), F.col("n_all")).otherwise(0))).first()[0]
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // _CELL_ROWS)
     return cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node").mapInArrow(run, "a binary, b binary")
 
 
@@ -318,8 +357,7 @@ def _linked(buckets: DataFrame, first: DataFrame, texts: DataFrame, threshold: f
         return hubs
     signed = _signatures(open_, texts)
     linked = written(hubs.union(_links(open_, signed, threshold)), "dup-linked")
-    for used in (hubs, open_, signed):
-        dropped(used)
+    dropped(hubs, open_, signed)
     return linked
 
 
@@ -330,34 +368,33 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> D
     similarity of `threshold` or more.  Rows without words, null texts among them, are alone.  The least of no but null ids is
     null.  Retrieval finds a pair of similarity 0.8 with probability 0.9999; what it finds is verified exactly.
     Ids may be null or repeated, so class_id does not tell classes apart; root, the least node of the class, does (null without words).
+    Repeated rows and ties are in the class of their text; an empty table gives no rows; other columns are not read.
     """
     rows = _rows(docs, text)
     signed = _signed(rows)
     last = F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")
     nodes = written(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(last).alias("first"), F.max("bands").alias("bands")), "dup-nodes")
     buckets = _buckets(nodes)
-    size = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    near = buckets.join(size, "key")
-    score = near.groupBy("node").agg(F.sum("n").alias("score"))
-    hubs = buckets.join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
-    pairs = buckets.join(hubs, "key").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    hubs = buckets.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
+    pairs = _told(buckets.select("key", "node"), hubs, "key", "node").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
     first = written(pairs.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b")), "dup-first")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "first"), "node")
     named = lambda d: F.coalesce(d.cast("string"), F.lit("-"))
     wanted = wanted.select("node", F.col("first.hash").alias("hash"), named(F.col("first.doc")).alias("name"))
-    texts = rows.withColumn("name", named(F.col("doc"))).join(wanted, ["hash", "name"]).select("node", "text")
-    texts = kept = written(texts, "dup-texts")
-    repeated = texts.groupBy("node").count().filter("count > 1").limit(1).count()
-    if repeated:  # rows repeated with their ids
-        texts = texts.dropDuplicates(["node"])
+    texts = written(rows.withColumn("name", named(F.col("doc"))).dropDuplicates(["hash", "name"]).join(wanted, ["hash", "name"]).select("node", "text"), "dup-texts")
     linked = _linked(buckets, first, texts, threshold)
+    dropped(buckets, first, texts)
     roots = components(linked)
-    for used in (buckets, first, kept, linked):
-        dropped(used)
+    dropped(linked)
     of = nodes.select("node", F.col("first.doc").alias("doc")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc").alias("class_id"))
-    member = of.join(least, "root").select("node", "root", "class_id")
-    return signed.select("doc", "hash", "node").join(member, "node", "left").withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")))
+    member = _told(of, least, "root", "node").select("node", "root", "class_id")
+    rows = signed.select("doc", "hash", "node")
+    of_rows = _told(rows.filter("node is not null"), member, "node", "doc").select("doc", "hash", "node", "root", "class_id")
+    none = rows.filter("node is null").select("doc", "hash", "node", F.lit(None).cast("binary").alias("root"), F.col("doc").alias("class_id"))
+    out = written(of_rows.unionByName(none), "dup-classes")
+    dropped(signed, nodes, roots)
+    return out
 
 
 def report(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
@@ -366,14 +403,14 @@ def report(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, threshold: float = 0.8, text: str = "text") -> DataFrame:
-    """One row of each class, the one with the least id, with its own columns; rows without words all stay."""
-    named = F.coalesce(F.col("doc").cast("string"), F.lit("-"))
-    found = written(classes(docs, threshold=threshold, text=text).withColumn("name", named), "dup-classes")
-    keep = found.filter("node is not null").groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash", "name")).alias("k")).select("k.name", "k.hash", F.lit(1).alias("_most"))
-    lone = found.filter("node is null").select("name", "hash").distinct().withColumn("_most", F.lit(None).cast("int"))
+    """One row of each class, the one with the least id (nulls last), with its own columns, whatever their names; rows without
+    words all stay, repeated rows with words are one class."""
+    found = classes(docs, threshold=threshold, text=text)
+    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")).alias("k")
+    name, hashed = unused("name", docs), unused("hash", docs)
+    named = lambda d: F.coalesce(d.cast("string"), F.lit("-"))
+    keep = found.filter("root is not null").groupBy("root").agg(best).select(named(F.col("k.doc")).alias(name), F.col("k.hash").alias(hashed))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"_name": F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_hash": F.xxhash64(body)})
-    chosen = keep.unionByName(lone).select(F.col("name").alias("_name"), F.col("hash").alias("_hash"), "_most")
-    out = rows.join(chosen.hint("merge"), ["_name", "_hash"])
-    out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_name", "_hash").orderBy(F.lit(1))))
-    return out.filter("_most is null or _n <= _most").select(*docs.columns)
+    rows = docs.filter(body.rlike(_WORD)).withColumns({name: named(F.col("doc_id")), hashed: F.xxhash64(body)})
+    chosen = rows.dropDuplicates([name, hashed]).join(keep.hint("merge"), [name, hashed], "left_semi")
+    return chosen.select(*docs.columns).unionByName(docs.filter(~body.rlike(_WORD)))

@@ -51,7 +51,7 @@ def _groups(span: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _entries(payload: dict) -> tuple[np.ndarray, ...]:
-    """Distinct spans and checks, the first entry of each, the group of each entry, whether it is there twice; distinct cores
+    """Distinct spans and checks, the first entry of each, the group of each entry, how often it is there (to 255); distinct cores
     with their least span and whether they have several."""
     span, core, check = payload["span"], payload["core"], payload.get("check")
     check = np.zeros(len(span), np.uint64) if check is None else check
@@ -59,16 +59,16 @@ def _entries(payload: dict) -> tuple[np.ndarray, ...]:
     first = order[head]
     if payload.get("apart") and len(span):
         row = payload["row"][order]
-        twice = np.minimum.reduceat(row, head) != np.maximum.reduceat(row, head)
+        times = 1 + (np.minimum.reduceat(row, head) != np.maximum.reduceat(row, head))
     else:
-        twice = np.diff(np.append(head, len(span))) > 1
+        times = np.minimum(np.diff(np.append(head, len(span))), 255)
     if core is None or not len(core):
         none = span[:0]
-        return span[first], check[first], first, back, twice, none, none, none.astype(bool)
+        return span[first], check[first], first, back, times, none, none, none.astype(bool)
     order = np.argsort(core, kind="stable")
     cores, at = np.unique(core[order], return_index=True)
     low, high = np.minimum.reduceat(span[order], at), np.maximum.reduceat(span[order], at)
-    return span[first], check[first], first, back, twice, cores, low, low != high
+    return span[first], check[first], first, back, times, cores, low, low != high
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -86,15 +86,15 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 
 
 def _judged(sent: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """For what each batch sent, in order: flags of its spans (1: there twice, 2: also the first of them) and of its cores (1: in several spans)."""
+    """For what each batch sent, in order: flags of its spans (1: there twice, 2: also the first of them, from 4: half steps of
+    the logarithm of how often) and of its cores (1: in several spans)."""
     parts = [_unpacked(x) for x in sent]
-    span, check, twice, core, low, several = (np.concatenate(c) for c in zip(*parts))
+    span, check, times, core, low, several = (np.concatenate(c) for c in zip(*parts))
     order, head, back = _groups(span, check)
-    repeated = np.diff(np.append(head, len(span))) > 1
-    np.logical_or.at(repeated, back, twice != 0)
-    flag = repeated[back].astype(np.uint8)
+    total = np.bincount(back, times, len(head))
+    flag = ((total > 1) * (1 + 4 * np.minimum(63, 2 * np.log2(np.maximum(total, 1))).astype(np.uint8))).astype(np.uint8)[back]
     first = order[head]
-    flag[first] |= 2 * flag[first]
+    flag[first] |= 2 * (flag[first] & 1)
     _, of = np.unique(core, return_inverse=True)
     many = np.zeros(len(core), bool)
     least, most = np.full(len(core), 2**64 - 1, np.uint64), np.zeros(len(core), np.uint64)
@@ -121,11 +121,11 @@ def verdicts(table: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
-                spans, checks, _, _, twice, cores, low, several = _entries(pickle.loads(raw.as_py()))
+                spans, checks, _, _, times, cores, low, several = _entries(pickle.loads(raw.as_py()))
                 s, c = _slices(spans, buckets), _slices(cores, buckets)
                 some = np.flatnonzero((np.diff(s) > 0) | (np.diff(c) > 0)).tolist()
                 if some:
-                    cut = [_packed([*(x[s[b] : s[b + 1]] for x in (spans, checks, twice)), *(x[c[b] : c[b + 1]] for x in (cores, low, several))]) for b in some]
+                    cut = [_packed([*(x[s[b] : s[b + 1]] for x in (spans, checks, times)), *(x[c[b] : c[b + 1]] for x in (cores, low, several))]) for b in some]
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([ident] * len(some), pa.int64()), pa.array(cut, pa.binary())], names=["bucket", "batch_id", "sent"])
 
     def judge(part):
@@ -141,6 +141,7 @@ def verdicts(table: DataFrame, buckets: int) -> DataFrame:
 
 
 def states(payload: dict, told: list[dict] | None, buckets: int) -> np.ndarray:
+    """The verdicts of the payload's entries; without cores, the flags of their spans."""
     spans, _, first, back, _, cores, _, _ = _entries(payload)
     of_spans, of_cores = np.zeros(len(spans), np.uint8), np.zeros(len(cores), np.uint8)
     s, c = _slices(spans, buckets), _slices(cores, buckets)
@@ -152,7 +153,7 @@ def states(payload: dict, told: list[dict] | None, buckets: int) -> np.ndarray:
     partner = np.zeros(len(flag), bool)
     partner[first] = of_spans & 2 != 0
     if payload["core"] is None:
-        return flag & 1
+        return flag
     on = (of_cores[np.searchsorted(cores, payload["core"])] == 1) & ((flag == 0) | partner) if len(cores) else np.zeros(len(flag), bool)
     return (flag & 1) + 2 * on.astype(np.uint8)
 

@@ -1,8 +1,10 @@
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paceline.llm import neardup
 from tests.llm.test_decontaminate import words
@@ -96,6 +98,54 @@ def test_other_texts_under_null_or_repeated_ids_all_stay(spark):
     assert Counter(got) == Counter([(None, text(i)) for i in range(6)] + [(7, text(10)), (7, text(11)), (9, None)])
 
 
+def test_hot_groups_are_split_and_columns_may_clash(spark, monkeypatch):
+    """Thousands of repeated rows, exact and near copies; the caller's columns have the operator's names."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    near = lambda i: " ".join(base[:60] + [f"x{i}"] + base[61:])
+    rows = [(i, near(i)) for i in range(300)] + [(1000 + i, " ".join(base)) for i in range(1500)] + [(9, near(9))] * 700 + [(None, None)] * 400 + [(4000, "alone with own words here")]
+    monkeypatch.setattr(neardup, "_BLOCK", 64)
+    monkeypatch.setattr(neardup, "_SALTS", 5)
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, node string").repartition(5)
+    for n in ("_name", "_hash", "_n", "_most", "name", "Hash", "root", "class_id"):
+        df = df.withColumn(n, F.lit(n))
+    out = neardup.deduplicated(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == Counter({0: 1, 4000: 1, None: 400})
+    assert all(r[n] == n for r in got for n in ("_name", "_hash", "_most", "Hash", "class_id"))
+    assert {r.class_id for r in neardup.report(df.filter("doc_id < 4000")).collect()} == {0}
+
+
+def test_long_chains_end_in_one_component(spark):
+    """A path whose least node is at its end, and a star."""
+    name = lambda i: i.to_bytes(4, "big")
+    order = list(range(400))
+    random.Random(2).shuffle(order)
+    edges = [(name(a), name(b)) for a, b in zip(order, order[1:])] + [(name(5000), name(i)) for i in range(5001, 5600)]
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert {bytes(got[name(i)]) for i in order} == {name(0)} and {bytes(got[name(i)]) for i in range(5000, 5600)} == {name(5000)}
+
+
+def test_every_pair_at_the_threshold_is_found_on_whole_tables(spark):
+    """Recall at 0.8 on the given documents, against all pairs that share a shingle."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets, where = [multiset(t) for _, t in rows], {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    near = {(a, b) for x in where.values() if len(x) < 60 for a in x for b in x if a < b}
+    links = [(a, b) for a, b in near if similarity(sets[a], sets[b]) >= 0.8]
+    of = {r.doc_id: r.class_id for r in neardup.report(docs).collect()}
+    assert len(links) > 50 and all(of[rows[a][0]] == of[rows[b][0]] for a, b in links)
+    linked = {rows[i][0] for pair in links for i in pair}
+    assert all(of[d] == d for d, _ in rows if d not in linked)  # and nothing else is linked
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 40, dtype=np.uint64)
