@@ -13,10 +13,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import written
+from .store import dropped, written
 
 _FAN_BITS = 6
 _ROWS_PER_BLOCK = 4096
+_SALTS = 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,19 +100,38 @@ def communication_matrix(counts: DataFrame, bits: int, total: int, n_shards: int
     return nodes
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows (written) with _copy: 1, 2 and so on over the rows of equal doc_id and _text, wherever they lie.
+
+    Equal rows are numbered by _salt, so that many of them are no single window; each salt's numbers begin after those of the salts before.
+    """
+    same = ["doc_id", "_text"]
+    copy = F.row_number().over(Window.partitionBy(*same, "_salt").orderBy(F.lit(1)))
+    counts = rows.groupBy(*same, "_salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*same).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.withColumn("_before", F.sum("n").over(before)).filter("_before > 0").select(F.col("doc_id").alias("d"), F.col("_text").alias("t"), F.col("_salt").alias("s"), "_before")
+    found = rows.withColumn("_copy", copy).join(offset, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_text") == F.col("t")) & (F.col("_salt") == F.col("s")), "left")
+    return found.withColumn("_copy", F.col("_copy") + F.coalesce("_before", F.lit(0))).drop("d", "t", "s", "_before", "_salt")
+
+
 def shards(docs: DataFrame, *, n_shards: int = 40, seed: int = 23, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null), and the columns of `keep`.
+    """doc_id, the columns of `keep`, size, text_crc32, law ("rows"), shard, slot, grown_shard (null).
 
     Shard sizes differ by one row at most, the larger first; slots run from 0 without gaps; all assignments of rows to places
-    are equally likely over seeds.  Null texts count as empty; repeated rows, ties and null ids are rows of their own; an empty
-    table gives no rows.  Other columns are not read.
+    are equally likely over seeds.  Null texts count as empty; repeated rows, ties and null ids are rows of their own; very long
+    texts only count; an empty table gives no rows.  Other columns are not read; a column of `keep` that is named like one of the
+    result is left out.
     """
+    keep = tuple(c for c in keep if c.lower() not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
     text = F.coalesce("text", F.lit(""))
+    own = F.struct(*keep) if keep else F.lit(None).cast("int")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SALTS)).cast("int")
     rows = docs.select(
-        "doc_id", *[F.col(c) for c in keep], (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("_text"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(F.lit(1)))  # repeated rows, as of a mix, go their own ways
-    rows = rows.withColumn("_copy", copy).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "_text", "_copy")).drop("_text", "_copy")
-    rows = written(rows, "shard-rows")
+        "doc_id", own.alias("_own"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("_text"), salt.alias("_salt"))
+    read = written(rows, "shard-read")
+    rows = _copies(read).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "_text", "_copy")).drop("_text", "_copy")
+    rows = first = written(rows, "shard-rows")
+    dropped(read)
     n = rows.count()
     bits = max(0, (max(1, n // _ROWS_PER_BLOCK) - 1).bit_length())
     block = F.shiftrightunsigned("_key", 64 - bits) if bits else F.lit(0).cast("long")
@@ -124,8 +144,10 @@ def shards(docs: DataFrame, *, n_shards: int = 40, seed: int = 23, keep: tuple[s
     sub_bits = max(0, (max(1, n // n_shards // _ROWS_PER_BLOCK) - 1).bit_length())
     sub = F.shiftrightunsigned("_again", 64 - sub_bits) if sub_bits else F.lit(0).cast("long")
     rows = written(rows.drop("ends", "_block", "_r").withColumn("_sub", sub), "shard-sent")
+    dropped(first)
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy("shard", "_sub").agg(F.count("*").alias("n")).withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     again = Window.partitionBy("shard", "_sub").orderBy("_again", "doc_id", "size", "text_crc32")
     rows = rows.withColumn("_r", F.row_number().over(again)).join(offset, ["shard", "_sub"])
-    return rows.select("doc_id", *keep, "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_offset") + F.col("_r") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    own_columns = [F.col("_own")[c].alias(c) for c in keep]
+    return rows.select("doc_id", *own_columns, "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_offset") + F.col("_r") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
