@@ -1,7 +1,7 @@
 """Chat formatting: records of many layouts become canonical turns, turns become templated text.
 
-The sorted nested field paths of a record are hashed; the hash selects a declarative
-mapping.  Template: a turn is START role newline text END newline.  Inside roles and texts
+The sorted nested field paths of a record, those that any layout knows, are hashed; the
+hash selects a declarative mapping.  Template: a turn is START role newline text END newline.  Inside roles and texts
 the two characters "<|" (and any longer "<", backslashes, "|") get one more backslash, so
 no control string survives in them and the escape can be undone.
 """
@@ -13,6 +13,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -28,10 +29,10 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 @dataclass(frozen=True)
 class Mapping:
-    """How records with exactly these field paths become turns.
+    """How records with exactly these field paths, among those of all mappings, become turns.
 
     `turns` is the path of a list of messages with `role` and `text` fields; else `fields` lists (role, paths), whose non-empty
-    texts are joined by a blank line; `row` says that a record is itself one turn.
+    texts are joined by a blank line; `row` says that a record is itself one turn.  A text may be a list of parts with a `text` field.
     """
 
     name: str
@@ -58,6 +59,9 @@ def _of(name: str, *paths: str, **how) -> Mapping:
 MAPPINGS = (
     _of("turn_row", "conv_id", "turn", "role", "text", role="role", text="text", row=True),
     _of("messages", "messages[].role", "messages[].content", turns="messages", role="role", text="content"),
+    _of("messages_of_parts", "messages[].role", "messages[].content[].type", "messages[].content[].text", turns="messages", role="role", text="content"),
+    _of("messages_mixed", "messages[].role", "messages[].content", "messages[].content[].type", "messages[].content[].text", turns="messages", role="role", text="content"),
+    _of("no_messages", "messages", turns="messages", role="role", text="content"),
     _of("conversations", "conversations[].from", "conversations[].value", turns="conversations", role="from", text="value"),
     _of("system_conversations", "system", "conversations[].from", "conversations[].value", turns="conversations", role="from", text="value", fields=(("system", ("system",)),)),
     _of("dialog", "dialog[].speaker", "dialog[].text", turns="dialog", role="speaker", text="text"),
@@ -71,6 +75,18 @@ MAPPINGS = (
 )
 
 
+@lru_cache(4096)
+def _selected(paths: frozenset[str], mappings: tuple[Mapping, ...]) -> tuple[str, Mapping | None]:
+    """The fingerprint of the known ones among the paths, and the mapping of that fingerprint."""
+    key = fingerprint(paths & _known(mappings))
+    return key, next((m for m in mappings if m.key == key), None)
+
+
+@lru_cache(64)
+def _known(mappings: tuple[Mapping, ...]) -> frozenset[str]:
+    return frozenset().union(*(m.paths for m in mappings))
+
+
 def json_paths(value: object, at: str = "") -> set[str]:
     """Paths of the leaves; a list adds []; an empty list or object is a leaf."""
     if isinstance(value, dict) and value:
@@ -89,13 +105,14 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 
 
 def _text(value: object) -> str:
+    if isinstance(value, list) and all(isinstance(x, dict) for x in value):  # parts of a message
+        return "\n\n".join(_text(x["text"]) if "text" in x else _text(x and json.dumps(x, ensure_ascii=False)) for x in value)
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def record_turns(record: object, mappings: Iterable[Mapping] = MAPPINGS) -> tuple[str, str | None, list[tuple[str, str]]]:
+def record_turns(record: object, mappings: tuple[Mapping, ...] = MAPPINGS) -> tuple[str, str | None, list[tuple[str, str]]]:
     """The fingerprint of a parsed record, the mapping's name (None if there is none) and its (role, text) turns."""
-    key = fingerprint(json_paths(record))
-    m = next((m for m in mappings if m.key == key), None)
+    key, m = _selected(frozenset(json_paths(record)), mappings)
     if m is None:
         return key, None, []
     if m.row:
@@ -105,7 +122,7 @@ def record_turns(record: object, mappings: Iterable[Mapping] = MAPPINGS) -> tupl
         text = "\n\n".join(t for t in (_text(record.get(p)) for p in paths) if t)
         if text or role != "system":
             out.append((role, text))
-    for x in record[m.turns] if m.turns else ():
+    for x in (record[m.turns] or ()) if m.turns else ():
         role = _text(x.get(m.role))
         out.append((ROLES.get(role, role), _text(x.get(m.text))))
     return key, m.name, out
@@ -114,7 +131,8 @@ def record_turns(record: object, mappings: Iterable[Mapping] = MAPPINGS) -> tupl
 def canonical(df: DataFrame, record: str = "record", conv_id: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """conv_id, turn, role, text, mapping, fingerprint: the turns of JSON records of any known layout.
 
-    A record that is null, no JSON or of an unknown layout gives one row with null turn, role, text and mapping, so nothing is lost.
+    A record that is null, no JSON, of an unknown layout or without turns gives one row with null turn, role and text, so nothing
+    is lost.  Fields that no mapping knows do not count; null texts are empty; repeated records are records of their own.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,13 +150,17 @@ def canonical(df: DataFrame, record: str = "record", conv_id: str = "conv_id", m
 
 
 def table_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """conv_id, turn, role, text of a table whose columns are a layout of one turn a row; further columns are ignored."""
-    have = schema_paths(df.schema)
-    by = {m.key: m for m in mappings if m.row}
-    fits = [by[k] for k in (fingerprint(m.paths) for m in by.values() if m.paths <= have) if k in by]
-    if not fits:
-        raise ValueError(f"no mapping for the columns {sorted(have)}")
-    m = max(fits, key=lambda m: len(m.paths))
+    """conv_id, turn, role, text of a table whose rows are turns.
+
+    All rows have the nested field paths of the table's schema: their fingerprint selects the mapping.  Columns that no mapping
+    knows do not count; if others do that belong to another layout (a table of turns with a column `prompt`), so that no mapping
+    has the fingerprint, those that no mapping of rows knows are left out of it.
+    """
+    have = frozenset(schema_paths(df.schema))
+    rows = tuple(m for m in mappings if m.row)
+    m = _selected(have, mappings)[1] or _selected(have, rows)[1]
+    if m is None or not m.row:
+        raise ValueError(f"no mapping of turns for the columns {sorted(have)}")
     return df.select("conv_id", "turn", F.col(m.role).alias("role"), F.col(m.text).alias("text"))
 
 

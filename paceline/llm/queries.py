@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "conversations")
     said = chat.END + chat.START + "assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.formatted(chat.table_turns(rows.select("conv_id", "turn", "role", "text").unionByName(more))))
+    record = json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]})
+    more = chat.canonical(spark.createDataFrame([(-1, record)], "conv_id long, record string")).select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(chat.table_turns(_read(spark, sf_dir, "conversations")).unionByName(more)))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
