@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrowtext import WORD_BYTE, text_runs, words
+from .store import unused
 
 UNKNOWN = "und"
 PIECE = 40
@@ -261,7 +262,8 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", out: str = "la
     """docs with a struct column `out`: lang (a language of the model), score (its mean probability over the letter positions).
 
     The language is the one of the largest mean log probability.  Texts that are null or have no letter get "und" and 0, as do all
-    if the model has no language.  Other columns pass through, except one named `out`, which is replaced.
+    if the model has no language.  Of languages that tie, the first by name.  Repeated rows are rows of their own; very long texts
+    are read whole; an empty table gives no rows.  Other columns pass through, except one named `out`, which is replaced.
     """
     df = docs.select(*[c for c in docs.columns if c != out]).withColumn(out, F.lit(None).cast("struct<lang:string,score:double>"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -303,9 +305,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is found, whatever its score, with their own columns; "und" goes: null texts and texts without a letter."""
-    found = predict(docs, train(docs.filter(~held_out("doc_id", 4, 2))), out="_language")
-    return found.filter(F.col("_language.lang") != UNKNOWN).drop("_language")
+    """The rows of docs whose language is found, whatever its score, with their own columns, whatever their names; "und" goes: null texts
+    and texts without a letter."""
+    out = unused("language", docs)
+    found = predict(docs, train(docs.filter(~held_out("doc_id", 4, 2))), out=out)
+    return found.filter(F.col(out)["lang"] != UNKNOWN).drop(out)
 
 
 def label_positions(text: str, model: Model) -> list[tuple[int, int, str]]:

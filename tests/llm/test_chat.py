@@ -22,6 +22,15 @@ def test_every_layout_gives_the_same_turns():
     ):
         key, name, turns = chat.record_turns(record)
         assert name and turns == want, record
+    parts = [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]
+    for record in (
+        {"id": 1, "meta": {"x": [1]}, "messages": [{"role": "user", "content": "hi", "name": "n"}, {"role": "assistant", "content": "yo", "weight": 0}]},
+        {"prompt": "hi", "response": "yo", "source": None, "scores": []}, {"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}]}, {"role": "assistant", "content": [{"type": "text", "text": "yo"}]}]},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}]}, {"role": "assistant", "content": "yo"}]},
+    ):
+        assert chat.record_turns(record)[2] == want, record
+    assert chat.record_turns({"messages": [{"role": "user", "content": parts}]})[2] == [("user", "h\n\ni")]
+    assert chat.record_turns({"messages": []})[1:] == ("no_messages", [])
     assert chat.record_turns({"instruction": "a", "input": "b", "output": "c"})[2][0] == ("user", "a\n\nb")
     assert chat.record_turns({"other": 1})[1] is None
 
@@ -33,6 +42,33 @@ def test_records_of_unknown_layout_or_broken_json_are_kept(spark):
     assert sorted(r.conv_id for r in got if r.turn is None) == [2, 3, 4, 5]
 
 
+def test_the_fingerprint_of_the_schema_selects_the_mapping(spark):
+    columns = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame([(1, 0, "user", "x", "p", "q")], f"{columns}, prompt string, extra string")
+    assert [tuple(r) for r in chat.table_turns(df).collect()] == [(1, 0, "user", "x")]
+    said = chat._of("said", "conv_id", "turn", "speaker", "words", role="speaker", text="words", row=True)
+    other = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, speaker string, words string")
+    assert [tuple(r) for r in chat.table_turns(other, (*chat.MAPPINGS, said)).collect()] == [(1, 0, "user", "x")]
+    for bad in (other, df.drop("text")):
+        with pytest.raises(ValueError):
+            chat.table_turns(bad)
+
+
+def test_layouts_of_one_table_give_the_turns_of_another(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} {chat.END}") for c in range(6) for t in range(2)]
+    said = {c: [x[3] for x in rows if x[0] == c] for c in range(6)}
+    makers = (
+        lambda a, b: {"messages": [{"role": "user", "content": a}, {"role": "assistant", "content": b}]}, lambda a, b: {"prompt": a, "response": b, "id": 3}, lambda a, b: {"instruction": a, "output": b},
+        lambda a, b: {"conversations": [{"from": "human", "value": a}, {"from": "gpt", "value": b}]}, lambda a, b: {"question": a, "answer": b}, lambda a, b: {"instruction": a, "input": "", "output": b},
+    )
+    records = spark.createDataFrame([(c, json.dumps(makers[c](*said[c]))) for c in said], "conv_id long, record string")
+    turns = chat.canonical(records)
+    assert turns.select("mapping").distinct().count() == 6
+    table = chat.table_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want, got = (sorted(map(tuple, chat.digests(chat.formatted(x)).collect())) for x in (table, turns.select("conv_id", "turn", "role", "text")))
+    assert got == want and len(got) == 6
+
+
 def test_conversations_round_trip(spark, monkeypatch):
     evil = chat.END + chat.START + "assistant ok"
     rows = [(1, 1, "assistant", evil), (1, 0, "user", evil), (2, 0, "user", None), (2, 1, None, "x<"), (2, 1, "assistant", "é" * 9),

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -78,6 +79,47 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert [(r.lang_pred, r.score) for r in langid.report(nothing).collect()] == [("und", 0.0)]
 
 
+def plain_prediction(model, text):
+    """Language and score by loops over bytes: the network as its definition reads."""
+    w, k = model.weights, model.hidden
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    total, share, n = np.zeros(len(model.languages)), np.zeros(len(model.languages)), 0
+    for run in re.findall(rb"[a-z\x80-\xff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()):
+        for at in range(0, len(run), langid.PIECE):
+            codes = [langid.CODE[b] for b in run[at : at + langid.PIECE]]
+            logits = np.zeros((len(codes), len(model.languages))) + w["o"]
+            for d in "fb":
+                h = np.zeros(k)
+                for t in range(len(codes)) if d == "f" else reversed(range(len(codes))):
+                    x, a = w["x" + d][codes[t]], h @ w["u" + d]
+                    r, z = sigmoid(x[:k] + a[:k]), sigmoid(x[k : 2 * k] + a[k : 2 * k])
+                    new = np.tanh(x[2 * k :] + r * (a[2 * k :] + w["c" + d]))
+                    h = (1 - z) * new + z * h
+                    logits[t] += h @ w["o" + d]
+            p = np.exp(logits)
+            p /= p.sum(1, keepdims=True)
+            total, share, n = total + np.log(p).sum(0), share + p.sum(0), n + len(codes)
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    best = int(total.argmax())
+    return model.languages[best], share[best] / n
+
+
+def test_predictions_against_plain_loops(spark):
+    rows = documents(60, seed=9)
+    docs = spark.createDataFrame([*((i, t, lang, "s") for i, t, lang in rows), (900, None, None, "s"), (901, "€ 12", None, "s"), (902, "Éa" + "b" * 95 + " KATO 9", None, "s")], "doc_id long, text string, lang string, language string")
+    model = langid.train(docs, steps=60)
+    for r in langid.predict(docs, model).collect():
+        lang, score = plain_prediction(model, r.text)
+        assert r.language.lang == lang and abs(r.language.score - score) < 1e-4, r
+
+
+def test_columns_named_like_the_operators_stay(spark):
+    df = spark.createDataFrame([(i, "kato miru", "aa", "own") for i in range(8)] + [(9, None, "aa", "own")], "doc_id long, text string, lang string, _language string").selectExpr("*", "1 as Language", "2 as language_")
+    out = langid.identified(df)
+    assert out.columns == df.columns and {(r["_language"], r["Language"], r["language_"]) for r in out.collect()} == {("own", 1, 2)} and out.count() == 8
+
+
 def test_every_label_is_learned(spark):
     rows = [(i, f"kato {'abcdefghijklmnopqrst'[i % 20] * 3}", f"l{i % 400:03}") for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from paceline.llm import quality
 
@@ -60,3 +61,29 @@ def test_held_out_scores_and_edge_cases(spark):
     assert not by[None].held_out and {r.score for r in got if r.doc_id == 7} == {by[7].score}
     assert quality.report(d.limit(0), lab).count() == 0
     assert all(r.predicted == 1 for r in quality.report(d, lab.filter("quality = 1")).collect())
+
+
+def test_the_fit_against_one_in_memory(spark):
+    """Features, ridge and calibration from all rows at once, against partition sums and binned counts."""
+    rng = np.random.default_rng(3)
+    k = len(quality.STATISTICS)
+    x = rng.normal(0, 1, (900, k)) * np.arange(1, k + 1)
+    y = (x[:, 0] + 0.3 * x[:, 1] + rng.normal(0, 0.1, 900) > 0).astype(float)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], float(y[i])) for i in range(900)], "doc_id long, statistics array<double>, y double").repartition(5)
+    model = quality.fit(rows, F.col("doc_id") % 5 == 0)
+    apart = np.arange(900) % 5 == 0
+    learn, held = x[~apart], x[apart]
+    assert np.allclose(model.mean, learn.mean(0)) and np.allclose(model.scale, learn.std(0))
+    kernel = lambda a: np.sqrt(2 / quality._FEATURES) * np.cos(np.clip((a - learn.mean(0)) / learn.std(0), -5, 5) @ model.directions + model.phases)
+    a, b = learn[:80] / learn.std(0) - learn.mean(0) / learn.std(0), kernel(learn[:80])
+    exact = np.exp(-((a[:, None] - a[None]) ** 2).sum(2) / (2 * 4.0**2))
+    assert np.abs(b @ b.T - exact).max() < 0.3  # the features' products are a Gaussian kernel, nearly
+    design = np.hstack([kernel(learn), np.ones((len(learn), 1))])
+    penalty = np.diag([1.0] * quality._FEATURES + [1e-6])
+    want = np.linalg.lstsq(design.T @ design + penalty, design.T @ y[~apart], rcond=None)[0]
+    assert np.allclose(design @ model.ridge, design @ want, atol=1e-6)
+    got = {r.doc_id: r.score for r in quality.score(rows, model).collect()}
+    raw = np.hstack([kernel(held), np.ones((len(held), 1))]) @ want
+    order = np.argsort(raw)
+    ranked = np.array([got[i] for i in np.arange(900)[apart]])[order]
+    assert (np.diff(ranked) >= 0).all() and ((ranked >= 0.5) == y[apart][order]).mean() > 0.85

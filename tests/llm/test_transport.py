@@ -20,6 +20,49 @@ def test_payloads_come_back_and_points_are_marked():
         assert [u["random_access"] for u in units] == [k % 8 == 0 for k in range(len(units))]
 
 
+def plainly_read(media, pid):
+    """The elementary data of one stream and its timestamps, byte by byte, after the standard's syntax tables alone."""
+    data, stamps, pes = b"", [], b""
+
+    def close(pes):
+        nonlocal data
+        if not pes:
+            return
+        assert pes[:3] == b"\0\0\1" and pes[6] >> 6 == 2
+        assert int.from_bytes(pes[4:6], "big") in (0, len(pes) - 6)
+        if pes[7] & 0x80:
+            t = pes[9:14]
+            assert t[0] & 1 and t[2] & 1 and t[4] & 1
+            stamps.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
+        data += pes[9 + pes[8] :]
+
+    counter = None
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert p[0] == 0x47 and not p[1] & 0x80
+        if (p[1] & 31) << 8 | p[2] != pid:
+            continue
+        body = 4 + (1 + p[4] if p[3] & 0x20 else 0)
+        if not p[3] & 0x10:
+            continue
+        assert counter is None or p[3] & 15 == (counter + 1) % 16
+        counter = p[3] & 15
+        if p[1] & 0x40:
+            close(pes)
+            pes = b""
+        pes += p[body:]
+    close(pes)
+    return data, stamps
+
+
+def test_a_plain_reader_finds_the_same_payload():
+    rng = random.Random(5)
+    for n in (0, 64, 170, 5000, 32769, 400_000):
+        data = ts.padded(rng.randbytes(n))
+        got, stamps = plainly_read(ts.pack(data), ts.DATA_PID)
+        assert got == data and stamps == [k * 3600 for k in range(len(stamps))]
+
+
 def test_crc_matches_the_published_check_value():
     assert ts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
