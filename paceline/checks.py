@@ -29,6 +29,13 @@ def described(function: Callable[..., DataFrame], *args, **options) -> Result:
     return Result(function(*args, **options), kind, params)
 
 
+def verbose(on: bool = True) -> None:
+    """Whether calls through described() tell what they do, on the standard error output."""
+    log.setLevel(logging.INFO if on else logging.WARNING)
+    if on and not log.handlers:
+        log.addHandler(logging.StreamHandler())
+
+
 def require_rows(df: DataFrame, what: str, *, error: bool = True) -> DataFrame:
     """df, if it has rows; else an error or a warning."""
     if df.isEmpty():

@@ -34,6 +34,22 @@ def normalized(streams: DataFrame) -> DataFrame:
     return out
 
 
+def checked_rows(df: DataFrame, what: str) -> None:
+    """An error if df has no rows."""
+    from ..checks import require_rows
+
+    require_rows(df, what)
+
+
+def streams_of(activities: DataFrame, export_dir: str | None) -> DataFrame:
+    """The streams of the activities' files in an export."""
+    if export_dir is None:
+        raise ValueError("give streams, or export_dir to read them from")
+    from ..sources.tracks import activity_streams
+
+    return activity_streams(activities.sparkSession, activities, export_dir)
+
+
 def of_activity(*more: str) -> Window:
     return Window.partitionBy(*KEYS, *more)
 

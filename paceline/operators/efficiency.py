@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import clean, column_or_null, normalized_power, present
 from ..params import fractions, frame, not_negative, output_metric, positive, quality_control as check_control, types as as_types, window
 from ..schema import ACTIVITY, ATHLETE
-from .coverage import KEYS, coverage_columns, coverage_value, in_time, normalized, of_activity, positive_gap
+from .coverage import KEYS, coverage_columns, coverage_value, in_time, normalized, of_activity, checked_rows, positive_gap, streams_of
 from .spine import with_athlete
 from .steady import WINDOW_SECONDS, qualifies, rolling_variation, window_rows, with_blocks
 
@@ -166,37 +166,60 @@ def ef_from_summaries(activities: DataFrame, ef_metric: str = "speed_hr", *, min
 def calculate_ef(
     activities: DataFrame, activity_type: str | Sequence[str] | None = ("Run", "Ride"), ef_metric: str = "speed_hr", start_date: object = None, end_date: object = None, min_duration_mins: float = 20,
     min_steady_minutes: float = 20, steady_cv_threshold: float = 0.08, min_hr_coverage: float = 0.9, quality_control: str = "filter", streams: DataFrame | None = None,
+    *, export_dir: str | None = None, ordered: bool = False, checked: bool = False,
 ) -> DataFrame:
     """athlete_id, activity_id, date, activity_type and the Efficiency Factor columns of each eligible activity.
 
-    Activities with rows in `streams` (keyed by athlete_id and activity_id) use them; the others their averages.  Activities
-    outside the dates and types, too short, or without heart rate are left out; without types, all are.
+    Activities with rows in `streams` (keyed by athlete_id and activity_id), or with a file in export_dir, use them; the others
+    their averages.  Activities outside the dates and types, too short, or without heart rate are left out; without types, all are.
+    Rows are unsorted, or by athlete, day and activity if `ordered`; `checked` makes an empty scope an error, at the cost of a small job.
     """
     not_negative(min_duration_mins=min_duration_mins, min_steady_minutes=min_steady_minutes)
     fractions(steady_cv_threshold=steady_cv_threshold, min_hr_coverage=min_hr_coverage)
     start, end = window(start_date, end_date)
     df = _eligible(activities, as_types(activity_type), start, end, min_duration_mins)
+    if checked:
+        checked_rows(df, f"activities of {activity_type} with a heart rate from {start} to {end}")
     summary = ef_from_summaries(df, ef_metric, min_steady_minutes=min_steady_minutes, quality_control=quality_control)
+    last = (lambda x: x.orderBy(ATHLETE, "date", ACTIVITY)) if ordered else (lambda x: x)
+    if streams is None and export_dir is not None:
+        streams = streams_of(df, export_dir)
     df = df.select(ATHLETE, F.col("id").alias(ACTIVITY), "date", F.col("type").alias("activity_type"), F.struct(*[c.alias(n) for n, c in summary.items()]).alias("_summary"))
     if streams is None:
-        return df.select(ATHLETE, ACTIVITY, "date", "activity_type", "_summary.*")
+        return last(df.select(ATHLETE, ACTIVITY, "date", "activity_type", "_summary.*"))
     wanted = df.select(ATHLETE, ACTIVITY)
     found = ef_from_streams(normalized(streams).join(wanted, list(KEYS), "left_semi"), ef_metric, min_steady_minutes=min_steady_minutes, steady_cv_threshold=steady_cv_threshold, min_hr_coverage=min_hr_coverage, quality_control=quality_control)
     found = found.select(*KEYS, F.struct(*summary).alias("_stream"))
     best = F.coalesce("_stream", "_summary")
-    return df.join(found, list(KEYS), "left").select(ATHLETE, ACTIVITY, "date", "activity_type", *[best[n].alias(n) for n in summary])
+    return last(df.join(found, list(KEYS), "left").select(ATHLETE, ACTIVITY, "date", "activity_type", *[best[n].alias(n) for n in summary]))
 
 
 def calculate_decoupling(
-    activities: DataFrame, streams: DataFrame, activity_type: str | Sequence[str] | None = ("Run", "Ride"), decouple_metric: str = "speed_hr", start_date: object = None, end_date: object = None,
+    activities: DataFrame | None = None, streams: DataFrame | None = None, activity_type: str | Sequence[str] | None = ("Run", "Ride"), decouple_metric: str = "speed_hr", start_date: object = None, end_date: object = None,
     min_duration_mins: float = 40, min_steady_minutes: float = 40, steady_cv_threshold: float = 0.08, min_hr_coverage: float = 0.9, quality_control: str = "filter",
+    *, export_dir: str | None = None, stream_df: DataFrame | None = None, return_diagnostics: bool = False, ordered: bool = False, checked: bool = False,
 ) -> DataFrame:
-    """athlete_id, activity_id, date and the decoupling columns of each eligible activity that has a stream."""
+    """athlete_id, activity_id, date and the decoupling columns of each eligible activity that has a stream, given or read from
+    its file in export_dir.
+
+    With stream_df, streams of activities that need no table, the result is decoupling alone (null where the stream does not
+    serve), or with return_diagnostics its status and figures too; streams of several activities keep their keys.
+    Rows are unsorted, or by athlete, day and activity if `ordered`; `checked` makes an empty scope an error, at the cost of a small job.
+    """
     positive(min_duration_mins=min_duration_mins, min_steady_minutes=min_steady_minutes)
     fractions(steady_cv_threshold=steady_cv_threshold, min_hr_coverage=min_hr_coverage)
+    if stream_df is not None:
+        one = decoupling_from_streams(normalized(frame(stream_df, "stream_df")), decouple_metric, min_steady_minutes=min_steady_minutes, steady_cv_threshold=steady_cv_threshold, min_hr_coverage=min_hr_coverage, quality_control=quality_control)
+        keys = [k for k in KEYS if k in stream_df.columns]
+        return one.drop(*[k for k in KEYS if k not in keys]) if return_diagnostics else one.select(*keys, "decoupling")
     start, end = window(start_date, end_date)
     df = with_athlete(frame(activities)).filter(F.col("date").between(F.lit(start), F.lit(end)) & (F.col("moving_time") >= min_duration_mins * 60))
     df = df.filter(F.col("type").isin(*(as_types(activity_type) or ())))
+    if checked:
+        checked_rows(df, f"activities of {activity_type} of {min_duration_mins} minutes from {start} to {end}")
+    if streams is None:
+        streams = streams_of(df, export_dir)
     df = df.select(ATHLETE, F.col("id").alias(ACTIVITY), "date")
     found = decoupling_from_streams(normalized(streams).join(df.select(*KEYS), list(KEYS), "left_semi"), decouple_metric, min_steady_minutes=min_steady_minutes, steady_cv_threshold=steady_cv_threshold, min_hr_coverage=min_hr_coverage, quality_control=quality_control)
-    return df.join(found, list(KEYS))
+    out = df.join(found, list(KEYS))
+    return out.orderBy(ATHLETE, "date", ACTIVITY) if ordered else out

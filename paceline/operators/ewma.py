@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..params import frame, one_of, ordered_periods, positive_ints, types as as_types, window
 from ..schema import ATHLETE
+from .acwr import _check
 from .load import with_load
 from .spine import daily_spine, ratio, rolling_mean, with_athlete
 
@@ -103,11 +104,12 @@ def bootstrap_bands(days: DataFrame, alpha_acute: float, alpha_chronic: float, s
 def calculate_acwr_ewma(
     activities: DataFrame, activity_type: str | Sequence[str] | None = None, load_metric: str = "duration_mins", method: str = "ra", acute_period: int = 7, chronic_period: int = 28,
     half_life_acute: float = 3.5, half_life_chronic: float = 14, start_date: object = None, end_date: object = None, user_ftp: float | None = None, user_max_hr: float | None = None,
-    user_resting_hr: float | None = None, smoothing_period: int = 7, ci: bool = False, B: int = 200, block_len: int = 7, conf_level: float = 0.95, missing_load: str = "zero", seed: int = 1,
+    user_resting_hr: float | None = None, smoothing_period: int = 7, ci: bool = False, B: int = 200, block_len: int = 7, conf_level: float = 0.95, missing_load: str = "zero", seed: int = 1, *, checked: bool = False,
 ) -> DataFrame:
     """athlete_id, date, atl, ctl, acwr, acwr_smooth (and acwr_lower, acwr_upper with ci) by rolling means or exponential weights.
 
     Here the ratio is smoothed before the analysis is cut out, so its first days have values.  Bands need method "ewma".
+    `checked` as in calculate_acwr().
     """
     kinds = as_types(activity_type, required=True)
     one_of("method", method, ("ra", "ewma"))
@@ -121,6 +123,8 @@ def calculate_acwr_ewma(
         ci = False
     start, end = window(start_date, end_date)
     buffer = chronic_period if method == "ra" else math.ceil(4 * half_life_chronic)
+    if checked:
+        _check(activities, kinds, load_metric, start, end, buffer, chronic_period, missing_load, user_ftp, user_max_hr, user_resting_hr)
     loads = with_load(with_athlete(frame(activities)), load_metric, user_ftp=user_ftp, user_max_hr=user_max_hr, user_resting_hr=user_resting_hr)
     days = daily_spine(loads, types=kinds, fetch_start=start - dt.timedelta(days=buffer), end=end, missing_load=missing_load)
     if method == "ra":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clean, column_or_null, normalized_power
@@ -9,11 +11,8 @@ from ..params import load_metric
 from ..schema import ATHLETE
 
 
-def load_columns(df: DataFrame, metric: str = "duration_mins", *, user_ftp: float | None = None, user_max_hr: float | None = None, user_resting_hr: float | None = None) -> dict[str, Column]:
-    """load (null unless the status is ok) and load_status.
-
-    The first test of a metric that fails gives the status. Absent columns, nulls, NaN and infinities are missing.
-    """
+def _value_and_status(df: DataFrame, metric: str, *, user_ftp: float | None = None, user_max_hr: float | None = None, user_resting_hr: float | None = None) -> tuple[Column, Column]:
+    """The load, of use where the status is ok, and the status: the first test of a metric that fails."""
     get = lambda name: clean(column_or_null(df, name))
     moving, elapsed, meters, climb, heart = (get(c) for c in ("moving_time", "elapsed_time", "distance", "elevation_gain", "average_heartrate"))
     power = normalized_power(df)
@@ -37,9 +36,26 @@ def load_columns(df: DataFrame, metric: str = "duration_mins", *, user_ftp: floa
     status = F.lit("ok")
     for test, name in reversed(tests):
         status = F.when(test, F.lit(name)).otherwise(status)
+    return value, status
+
+
+def load_columns(df: DataFrame, metric: str = "duration_mins", **thresholds) -> dict[str, Column]:
+    """load (null unless the status is ok) and load_status. Absent columns, nulls, NaN and infinities are missing."""
+    value, status = _value_and_status(df, metric, **thresholds)
     return {"load": F.when(status == "ok", value), "load_status": status}
 
 
+def long_loads(activities: DataFrame, metrics: Sequence[str], keep: Sequence[str], **thresholds) -> DataFrame:
+    """The columns of `keep`, metric, load, load_status: a row for each activity and metric.
+
+    Values and statuses are columns of their own before they are put together, so each is worked out once.
+    """
+    both = {m: _value_and_status(activities, m, **thresholds) for m in metrics}
+    wide = activities.select(*keep, *[c.alias(f"{part}_{m}") for m, pair in both.items() for part, c in zip(("value", "status"), pair)])
+    rows = [F.struct(F.lit(m).alias("metric"), F.when(F.col(f"status_{m}") == "ok", F.col(f"value_{m}")).alias("load"), F.col(f"status_{m}").alias("load_status")) for m in metrics]
+    return wide.select(*keep, F.inline(F.array(*rows)))
+
+
 def with_load(activities: DataFrame, metric: str = "duration_mins", **thresholds) -> DataFrame:
     """activities with load and load_status; rows whose load cannot be computed stay."""
     load_metric(metric, thresholds.get("user_ftp"), thresholds.get("user_max_hr"), thresholds.get("user_resting_hr"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import distance_label, period_text
 from ..params import frame, types as as_types, window
 from ..schema import ACTIVITY, ATHLETE, PB_DISTANCES
-from .coverage import KEYS, in_time, normalized, of_activity
+from .coverage import KEYS, in_time, checked_rows, normalized, of_activity, streams_of
 from .spine import with_athlete
 
 MIN_SAMPLES = 10
@@ -83,9 +83,15 @@ def progression(efforts: DataFrame) -> DataFrame:
 
 
 def calculate_pbs(
-    activities: DataFrame, streams: DataFrame, activity_type: str | Sequence[str] | None = "Run", start_date: object = None, end_date: object = None, distances_m: Sequence[float] = PB_DISTANCES,
+    activities: DataFrame, streams: DataFrame | None = None, activity_type: str | Sequence[str] | None = "Run", start_date: object = None, end_date: object = None, distances_m: Sequence[float] = PB_DISTANCES,
+    *, export_dir: str | None = None, ordered: bool = False, checked: bool = False,
 ) -> DataFrame:
-    """Best efforts and records of the activities of a type (null: all) that are long enough and have a stream."""
+    """Best efforts and records of the activities of a type (null: all) that are long enough and have a stream.
+
+    Streams are given, or read from the activities' files in export_dir.  Activities without a column id are numbered by athlete,
+    in the order of their columns.  Rows are unsorted, or by athlete, day, activity and distance if `ordered`;
+    `checked` makes an empty scope an error.
+    """
     start, end = window(start_date, end_date, check=False)
     df = with_athlete(frame(activities)).filter(F.col("date").between(F.lit(start), F.lit(end)) & (F.col("distance") >= float(min(distances_m))))
     kinds = as_types(activity_type)
@@ -93,8 +99,13 @@ def calculate_pbs(
     if "filename" in df.columns:
         df = df.filter(F.col("filename") != "")
     if "id" not in df.columns:
-        df = df.withColumn("id", F.monotonically_increasing_id())
+        df = df.withColumn("id", F.row_number().over(Window.partitionBy(ATHLETE).orderBy("date", *[c for c in sorted(df.columns) if c not in (ATHLETE, "date")])).cast("long"))
+    if checked:
+        checked_rows(df, f"activities of {activity_type} of {min(distances_m)} meters from {start} to {end}")
+    if streams is None:
+        streams = streams_of(df, export_dir)
     when = F.col("start_date_local") if "start_date_local" in df.columns else F.col("date")
     df = df.select(ATHLETE, F.col("id").alias(ACTIVITY), when.alias("activity_date"))
     wanted = normalized(streams).join(df.select(*KEYS), list(KEYS), "left_semi")
-    return progression(best_efforts(wanted, distances_m).join(df, list(KEYS)))
+    out = progression(best_efforts(wanted, distances_m).join(df, list(KEYS)))
+    return out.orderBy(ATHLETE, "activity_date", ACTIVITY, "distance") if ordered else out

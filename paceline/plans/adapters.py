@@ -21,16 +21,17 @@ select c.c_nationkey as athlete_id, r.r_name as sport, o.o_orderpriority as type
 from {orders} o join {customer} c on o.o_custkey = c.c_custkey join {nation} n on c.c_nationkey = n.n_nationkey join {region} r on n.n_regionkey = r.r_regionkey
 """
 
-#: one sample a second; every third activity is unsteady, one has no heart rate for most of its time, spikes are spread
+#: one sample a second. The events of 15 users are an activity, about 1000 samples at any scale, so that more data are more
+#: activities. By the last digit of the activity: some are unsteady, some have no heart rate for most of the time; spikes are spread
 STREAMS = """
 select activity_id % 3 as athlete_id, activity_id, seq_no, cast(seq_no as double) as time_s,
-  case when event_id % 97 = 0 or (activity_id = 4 and seq_no % 10 < 6) then null when event_id % 211 = 0 then cast(250 as double) else cast(130 + (event_id * 31) % 25 as double) end as heartrate,
+  case when event_id % 97 = 0 or (activity_id % 10 = 4 and seq_no % 10 < 6) then null when event_id % 211 = 0 then cast(250 as double) else cast(130 + (event_id * 31) % 25 as double) end as heartrate,
   cast(180 + (event_id * 17) % 40 as double) as watts, cast(v as double) / cast(500 as double) as velocity_smooth,
   cast(sum(v) over (partition by activity_id order by seq_no rows between unbounded preceding and current row) as double) / cast(500 as double) as distance
 from (
-  select user_id % 10 as activity_id, event_id, row_number() over (partition by user_id % 10 order by ts, event_id) - 1 as seq_no,
-    case when event_id % 307 = 0 then 12000 when user_id % 10 in (0, 3, 6) then 500 + (event_id * 7919) % 3000 when event_id % 101 = 0 then 0 else 1500 + (event_id * 7919) % 100 end as v
-  from {events}
+  select u as activity_id, event_id, row_number() over (partition by u order by ts, event_id) - 1 as seq_no,
+    case when event_id % 307 = 0 then 12000 when u % 10 in (0, 3, 6) then 500 + (event_id * 7919) % 3000 when event_id % 101 = 0 then 0 else 1500 + (event_id * 7919) % 100 end as v
+  from (select cast(floor(user_id / 15) as bigint) as u, event_id, ts from {events}) x
 ) e
 """
 

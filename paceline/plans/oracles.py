@@ -6,7 +6,7 @@ from .adapters import ACTIVITIES, STREAMS, sql_of
 
 _ACTS = f"activities as ({sql_of(ACTIVITIES)})"
 _STREAMS = f"streams as ({sql_of(STREAMS)})"
-_TYPES = "('1-URGENT', '2-HIGH')"
+_TYPES = "('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
 _NP = "case when weighted_average_watts > 0 then weighted_average_watts when average_watts > 0 then average_watts else 0 end"
 _DURATION = "case when moving_time > 0 then moving_time / cast(60 as double) end"
 _HRSS = "case when moving_time > 0 and average_heartrate > 50 and average_heartrate <= 190 then moving_time / cast(60 as double) * (average_heartrate - 50) / 140 end"
@@ -36,10 +36,10 @@ def _round(*names: str) -> str:
 _RA = f"ra as (select athlete_id, date, daily_load, {_mean('daily_load', 7)} as atl, {_mean('daily_load', 28)} as ctl from days)"
 
 
-def _acwr(load: str, missing: str = "zero") -> str:
-    return f"""{_days(load, '1998-12-04', '2000-12-31', missing)},
+def _acwr(load: str, missing: str = "zero", types: str = _TYPES) -> str:
+    return f"""{_days(load, '1994-12-04', '2001-08-01', missing, types)},
 {_RA},
-series as (select athlete_id, date, atl, ctl, case when ctl > 0.01 then atl / ctl end as acwr from ra where date >= date '1999-01-01'),
+series as (select athlete_id, date, atl, ctl, case when ctl > 0.01 then atl / ctl end as acwr from ra where date >= date '1995-01-01'),
 smooth as (select *, {_mean('acwr', 7)} as acwr_smooth from series)"""
 
 
@@ -68,16 +68,16 @@ bands as ({each})"""
 
 
 _SPORTS = "sports as (select distinct athlete_id, sport from activities), with_sport as (select s.*, sport from smooth s left join sports using (athlete_id))"
-_EF_BASE = "base as (select *, moving_time / cast(60 as double) as minutes from activities where date between date '1999-01-01' and date '2000-12-31' and type in ('1-URGENT', '2-HIGH') and average_heartrate > 0)"
+_EF_BASE = f"base as (select *, moving_time / cast(60 as double) as minutes from activities where date between date '1995-01-01' and date '2001-08-01' and type in {_TYPES} and average_heartrate > 0)"
 _NULLS = "cast(null as double) as quality_score, cast(null as double) as hr_coverage, cast(null as double) as steady_duration_minutes, cast(null as integer) as n_steady_blocks, cast(null as double) as sampling_interval_seconds"
 _SPEED = "case when distance > 0 and moving_time > 0 then distance / moving_time / average_heartrate end"
 
 
-def _stream_rows(output: str, filtered: bool, flagged: bool, min_minutes: int = 4) -> str:
+def _stream_rows(output: str, filtered: bool, flagged: bool, min_minutes: int = 4, streams: str = _STREAMS) -> str:
     """CTEs of the stream path with a self join for the rolling variation: one row per activity in `verdict`."""
-    low, high = ("0.5", "15") if output == "velocity_smooth" else ("0", "2000")
+    low, high = ("0", "2000") if output == "watts" else ("0.5", "15")
     odd = f"(out <= {low} or out >= {high} or heartrate <= 50 or heartrate >= 220)" if flagged else "false"
-    return f"""{_STREAMS},
+    return f"""{streams},
 pairs as (select *, lag(time_s) over w as t0, lag(heartrate) over w as h0 from streams window w as (partition by athlete_id, activity_id order by time_s, seq_no)),
 cover as (select athlete_id, activity_id, sum(case when heartrate > 0 and h0 > 0 then time_s - t0 else 0 end) / sum(time_s - t0) as coverage, median(case when time_s > t0 then time_s - t0 end) as dt, count(heartrate) as n1 from pairs group by athlete_id, activity_id),
 valid as (select *, {output} as out from streams where heartrate > 0 and {output} > 0),
@@ -103,9 +103,15 @@ verdict as (select c.athlete_id, c.activity_id, c.coverage, c.dt, c.n1, coalesce
   from cover c left join scores s using (athlete_id, activity_id) left join sizes z using (athlete_id, activity_id) left join medians m using (athlete_id, activity_id))"""
 
 
-def _ef_stream(output: str, metric: str, filtered: bool, flagged: bool) -> str:
+#: speed from the distance between samples with a heart rate
+_DERIVED = f"""raw as ({sql_of(STREAMS)}),
+known as (select activity_id, seq_no, coalesce((distance - lag(distance) over w) / (time_s - lag(time_s) over w), 0) as speed from raw where heartrate is not null window w as (partition by activity_id order by time_s, seq_no)),
+streams as (select raw.*, known.speed from raw left join known on raw.activity_id = known.activity_id and raw.seq_no = known.seq_no)"""
+
+
+def _ef_stream(output: str, metric: str, filtered: bool, flagged: bool, streams: str = _STREAMS) -> str:
     score = "1 - n_odd / cast(n2 as double)" if flagged else "1.0"
-    return f"""with {_stream_rows(output, filtered, flagged)},
+    return f"""with {_stream_rows(output, filtered, flagged, streams=streams)},
 judged as (select *, case when coverage < 0.9 then 'insufficient_hr_data' when n1 < 100 then 'insufficient_data_points' when n2 < 100 then 'insufficient_valid_data' when n3 < 100 then 'insufficient_data_after_quality_filter'
   when span < 4 then 'too_short' when not any_steady then 'non_steady' when minutes is null then 'insufficient_steady_duration' else 'ok' end as status from verdict)
 select athlete_id, activity_id, round(case when status = 'ok' then ef end, 6) as ef_value, status, '{metric}' as ef_metric_requested, '{metric}' as ef_metric_used,
@@ -113,6 +119,14 @@ select athlete_id, activity_id, round(case when status = 'ok' then ef end, 6) as
   round(case when status = 'ok' then minutes end, 6) as steady_duration_minutes, cast(case when status = 'ok' then n_blocks end as integer) as n_steady_blocks, round(dt, 6) as sampling_interval_seconds from judged"""
 
 
+_DECOUPLING = f"""with {_stream_rows('velocity_smooth', False, True)},
+judged as (select *, case when coverage < 0.9 then 'insufficient_hr_data' when n1 < 100 then 'insufficient_data_points' when n2 < 100 then 'insufficient_valid_data' when not any_steady then 'non_steady'
+  when minutes is null then 'insufficient_steady_duration' when ef1 is null or ef2 is null then 'non_steady' else 'ok' end as status from verdict)
+select athlete_id, activity_id, round(case when status = 'ok' then (ef1 - ef2) / ef1 * 100 end, 6) as decoupling, status,
+  round(case when status in ('insufficient_hr_data', 'insufficient_data_points', 'insufficient_valid_data') then null else 1 - n_odd / cast(n2 as double) end, 6) as quality_score, round(coverage, 6) as hr_coverage,
+  round(case when status in ('insufficient_hr_data', 'insufficient_data_points', 'insufficient_valid_data') then null else minutes end, 6) as steady_duration_minutes, round(dt, 6) as sampling_interval_seconds from judged"""
+
+
 def _flags(limit: str) -> str:
     return f"""{_STREAMS},
 steps as (select *, time_s - lag(time_s) over w as dt, abs(heartrate - lag(heartrate) over w) as dh, abs(watts - lag(watts) over w) as dp, abs(velocity_smooth - lag(velocity_smooth) over w) as dv, row_number() over w as rn, count(*) over (partition by activity_id) as n
@@ -125,7 +139,7 @@ done as (select f.*, coalesce(r.c = 120 and r.sd / r.m < 0.08, false) and not f.
   from anyflag f join roll r on f.activity_id = r.activity_id and f.seq_no = r.seq_no)"""
 
 
-def _best_efforts() -> str:
+def _best_efforts(digits: int = 6) -> str:
     return f"""with {_STREAMS},
 tops as (select athlete_id, activity_id, time_s, distance as d, max(distance) over (partition by activity_id order by time_s rows between unbounded preceding and 1 preceding) as top from streams),
 segs as (select *, sum(case when top is null or d > top then 1 else 0 end) over (partition by activity_id order by time_s rows between unbounded preceding and current row) as seg from tops),
@@ -142,7 +156,11 @@ timed as (select c.activity_id, c.x, c.s,
   from starts c join knots2 a on a.activity_id = c.activity_id and a.d <= c.s and (a.d2 > c.s or a.d2 is null)
   join knots2 b on b.activity_id = c.activity_id and b.d <= c.s + c.x and (b.d2 > c.s + c.x or b.d2 is null)),
 ranked as (select *, row_number() over (partition by activity_id, x order by tb - ta, s) as place from timed where tb - ta > 0)
-select activity_id % 3 as athlete_id, activity_id, cast(x as double) as distance, round(tb - ta, 6) as time_seconds, round(s, 6) as start_distance, round(s + x, 6) as end_distance from ranked where place = 1"""
+select activity_id % 3 as athlete_id, activity_id, cast(x as double) as distance, round(tb - ta, {digits}) as time_seconds, round(s, 6) as start_distance, round(s + x, 6) as end_distance from ranked where place = 1"""
+
+
+_STREAM_ACTS = f"""with {_STREAMS}, acts as (select athlete_id, activity_id, date '2000-01-01' + cast(activity_id * 7 % 400 as integer) as date, case when activity_id % 5 = 1 then 'Ride' else 'Run' end as type, cast(max(time_s) as integer) as moving_time, max(distance) as d
+  from streams group by athlete_id, activity_id)"""
 
 
 def _metrics() -> str:
@@ -172,17 +190,20 @@ def oracle_sql() -> dict[str, str]:
         "load_status_histogram": f"with {_ACTS}, s as (select {_HRSS_STATUS} as load_status from activities) select load_status, count(*) as n from s where load_status <> 'ok' group by load_status order by n desc, load_status limit 3",
         "daily_load": f"with {_ACTS} select athlete_id, date, round(sum({_TSS}), 6) as daily_load, count(*) as n_activities from activities group by athlete_id, date",
         "acwr_duration": f"with {_acwr(_DURATION)} select athlete_id, date, {series} from smooth",
-        "acwr_missing_na": f"with {_acwr(_HRSS, 'na')} select athlete_id, date, {series} from smooth",
-        "acwr_ewma_ra": f"with {_days(_DURATION, '1998-12-04', '2000-12-31')}, {_RA}, s as (select *, case when ctl > 0.01 then atl / ctl end as acwr from ra), t as (select *, {_mean('acwr', 7)} as acwr_smooth from s) select athlete_id, date, {series} from t where date >= date '1999-01-01'",
-        "acwr_ewma": f"with recursive {_days(_HRSS, '1998-11-06', '2000-12-31', 'na')}, {_EWMA}, t as (select *, {_mean('acwr', 7)} as acwr_smooth from ewma_ratio) select athlete_id, date, {series} from t where date >= date '1999-01-01'",
-        "bootstrap_resample_fixed_starts": "select cast(p - 1 as integer) as place, cast(list_extract([2, 3, 4, 5, 5, 6, 7, 8, 7, 8], p) as bigint) as load from (select unnest(generate_series(1, 10)) as p) x",
-        "exposure": f"with {_days(_DURATION, '2000-10-09', '2000-12-31')}, s as (select athlete_id, date, daily_load, {_mean('daily_load', 7)} as atl, {_mean('daily_load', 42)} as ctl from days) select athlete_id, date, {_round('daily_load', 'atl', 'ctl')}, round(case when ctl > 0 then atl / ctl end, 6) as acwr from s where date >= date '2000-11-20'",
+        "acwr_missing_na": f"with {_acwr(_HRSS, 'na', "('1-URGENT')")} select athlete_id, date, {series} from smooth",
+        "acwr_ewma_ra": f"with {_days(_DURATION, '1994-12-04', '2001-08-01')}, {_RA}, s as (select *, case when ctl > 0.01 then atl / ctl end as acwr from ra), t as (select *, {_mean('acwr', 7)} as acwr_smooth from s) select athlete_id, date, {series} from t where date >= date '1995-01-01'",
+        "acwr_ewma": f"with recursive {_days(_HRSS, '1994-11-06', '2001-08-01', 'na')}, {_EWMA}, t as (select *, {_mean('acwr', 7)} as acwr_smooth from ewma_ratio) select athlete_id, date, {series} from t where date >= date '1995-01-01'",
+        "bootstrap_resample_fixed_starts": f"""with {_days(_DURATION, '1995-01-01', '2001-08-01')}, n as (select athlete_id, date, daily_load, row_number() over (partition by athlete_id order by date) - 1 as i, count(*) over (partition by athlete_id) as size from days)
+select cast(a.athlete_id as bigint) as athlete_id, a.i as place, round(b.daily_load, 6) as daily_load from n a join n b on a.athlete_id = b.athlete_id and b.i = (cast(floor(a.i / 7) as bigint) * 37 + a.athlete_id) % (a.size - 6) + a.i % 7""",
+        "bootstrap_bands_by_day": f"""with recursive {_days(_DURATION, '1995-01-01', '2001-08-01')}, {_EWMA}, t as (select *, {_mean('acwr', 7)} as v from ewma_ratio)
+select athlete_id, date, round(v, 6) as acwr_lower, round(v, 6) as acwr_upper from t where date >= date '2000-01-01'""",
+        "exposure": f"with {_days(_DURATION, '2001-05-10', '2001-08-01')}, s as (select athlete_id, date, daily_load, {_mean('daily_load', 7)} as atl, {_mean('daily_load', 42)} as ctl from days) select athlete_id, date, {_round('daily_load', 'atl', 'ctl')}, round(case when ctl > 0 then atl / ctl end, 6) as acwr from s where date >= date '2001-06-21'",
         "acwr_zones": f"with {_acwr(_DURATION)}, z as (select case when acwr is null then null when acwr < 0.8 then 'low' when acwr < 1.3 then 'reference' when acwr <= 1.5 then 'elevated' else 'high' end as zone from smooth) select zone, count(*) as n from z group by zone",
         "history_warnings": f"""with {_ACTS}, s as (select athlete_id, date, {_HRSS} as load from activities where date <= date '1995-06-30'),
 b as (select athlete_id, min(date) as first_available, count(*) filter (where load is null and date >= date '1994-12-04') as n_unknown from s group by athlete_id),
 w as (select *, case when first_available > date '1994-12-04' then greatest(0, date_diff('day', date '1995-01-01', least(cast(first_available + interval 26 day as date), date '1995-06-30')) + 1) else 0 end as affected_days from b)
 select athlete_id, first_available, cast(affected_days as integer) as affected_days, n_unknown from w where affected_days > 0 or n_unknown > 0""",
-        "rest_days": f"with {_days(_DURATION, '1999-01-01', '2000-12-31')} select athlete_id, count(*) as n_days, count(*) filter (where n is null) as n_rest from days group by athlete_id",
+        "rest_days": f"with {_days(_DURATION, '1995-01-01', '2001-08-01')} select athlete_id, count(*) as n_days, count(*) filter (where n is null) as n_rest from days group by athlete_id",
         "cohort_bands": f"with {_acwr(_DURATION)}, {_SPORTS}, {_bands('with_sport', 'sport')} select date, sport, n_athletes, percentile, round(value, 6) as value from bands",
         "cohort_wide": f"with {_acwr(_DURATION)}, {_bands('smooth')} select date, {_round('p05', 'p25', 'p50', 'p75', 'p95')} from wide",
         "cohort_overlay": f"with {_acwr(_DURATION)}, {_bands('smooth')} select s.date, {_round('acwr_smooth', 'p05', 'p25', 'p50', 'p75', 'p95')}, athlete_id from smooth s left join wide w on s.date = w.date",
@@ -199,12 +220,7 @@ select athlete_id, id as activity_id, date, type as activity_type, round(case wh
   'power_hr' as ef_metric_requested, 'power_hr' as ef_metric_used, {_NULLS} from v""",
         "ef_stream": _ef_stream("velocity_smooth", "speed_hr", True, True),
         "ef_stream_power": _ef_stream("watts", "power_hr", False, False),
-        "decoupling_stream": f"""with {_stream_rows('velocity_smooth', False, True)},
-judged as (select *, case when coverage < 0.9 then 'insufficient_hr_data' when n1 < 100 then 'insufficient_data_points' when n2 < 100 then 'insufficient_valid_data' when not any_steady then 'non_steady'
-  when minutes is null then 'insufficient_steady_duration' when ef1 is null or ef2 is null then 'non_steady' else 'ok' end as status from verdict)
-select athlete_id, activity_id, round(case when status = 'ok' then (ef1 - ef2) / ef1 * 100 end, 6) as decoupling, status,
-  round(case when status in ('insufficient_hr_data', 'insufficient_data_points', 'insufficient_valid_data') then null else 1 - n_odd / cast(n2 as double) end, 6) as quality_score, round(coverage, 6) as hr_coverage,
-  round(case when status in ('insufficient_hr_data', 'insufficient_data_points', 'insufficient_valid_data') then null else minutes end, 6) as steady_duration_minutes, round(dt, 6) as sampling_interval_seconds from judged""",
+        "decoupling_stream": _DECOUPLING,
         "flag_quality": f"with {_flags('25')} select activity_id, seq_no, flag_hr_spike, flag_pw_spike, flag_gps_drift, flag_any, is_steady_state, round(quality_score, 6) as quality_score from done",
         "quality_summary": f"""with {_flags('7')}, t as (select activity_id % 3 as athlete_id, activity_id, count(*) as total_points, count(*) filter (where flag_any) as flagged_points, count(*) filter (where is_steady_state) as steady_state_points,
   count(*) filter (where flag_hr_spike) as h, count(*) filter (where flag_pw_spike) as p, count(*) filter (where flag_gps_drift) as g, max(quality_score) as q from done group by activity_id)
@@ -212,7 +228,7 @@ select athlete_id, activity_id, total_points, flagged_points, round_even(100.0 *
   round_even(q, 3) as quality_score, round_even(100.0 * h / total_points, 2) as hr_spike_pct, round_even(100.0 * p / total_points, 2) as pw_spike_pct, round_even(100.0 * g / total_points, 2) as gps_drift_pct from t""",
         "hr_coverage": f"with {_STREAMS}, p as (select *, lag(time_s) over w as t0, lag(heartrate) over w as h0 from streams window w as (partition by activity_id order by time_s)) select athlete_id, activity_id, round(sum(case when heartrate > 0 and h0 > 0 then time_s - t0 else 0 end) / sum(time_s - t0), 6) as coverage from p group by athlete_id, activity_id",
         "sampling_interval": f"with {_STREAMS}, p as (select *, (time_s - lag(time_s) over (partition by activity_id order by time_s)) * (activity_id % 4 + 1) / 2 as gap from streams) select athlete_id, activity_id, round(median(gap), 6) as sampling_interval_seconds from p group by athlete_id, activity_id",
-        "rolling_variation": f"""with {_STREAMS}, s as (select activity_id, seq_no, velocity_smooth as v, activity_id * 7 + 20 as k from streams),
+        "rolling_variation": f"""with {_STREAMS}, s as (select activity_id, seq_no, velocity_smooth as v, activity_id % 10 * 7 + 20 as k from streams),
 r as (select a.activity_id, a.seq_no, any_value(a.k) as k, count(*) as n, stddev_samp(b.v) / avg(b.v) as cv from s a join s b on a.activity_id = b.activity_id and b.seq_no between a.seq_no - cast(floor((a.k - 1) / 2.0) as bigint) and a.seq_no + cast(floor(a.k / 2.0) as bigint) group by a.activity_id, a.seq_no)
 select activity_id, seq_no, round(case when n = k then cv end, 6) as cv from r""",
         "steady_blocks": f"""with {_STREAMS}, s as (select activity_id, time_s, seq_no - row_number() over (partition by activity_id order by seq_no) as island from streams where velocity_smooth between 3 and 3.3)
@@ -226,12 +242,27 @@ select athlete_id, activity_id, activity_date, cast(10000 as double) as distance
 q as (select *, lag(a) over w as a0, lag(o) over w as o0 from p window w as (partition by activity_id order by seq_no)),
 l as (select activity_id, 2 * 6371000 * asin(sqrt(pow(sin((a - a0) / 2), 2) + cos(a0) * cos(a) * pow(sin((o - o0) / 2), 2))) as leg from q)
 select activity_id, round(sum(leg), 6) as meters, round(max(leg), 6) as longest from l group by activity_id""",
+        "ef_stream_from_distance": _ef_stream("speed", "speed_hr", True, True, _DERIVED),
+        "decoupling_of_activities": f"""{_STREAM_ACTS} select athlete_id, activity_id, date, decoupling, status, quality_score, hr_coverage, steady_duration_minutes, sampling_interval_seconds
+from acts join ({_DECOUPLING}) x using (athlete_id, activity_id) where type = 'Run' and date <= date '2000-12-31' and moving_time >= 990""",
+        "pbs_of_activities": f"""{_STREAM_ACTS}, e as (select athlete_id, activity_id, date as activity_date, x.distance as distance, time_seconds from acts join ({_best_efforts(12)}) x using (athlete_id, activity_id) where type = 'Run' and date <= date '2000-12-31'),
+c as (select *, min(time_seconds) over (partition by athlete_id, distance order by activity_date, activity_id rows between unbounded preceding and current row) as best from e)
+select athlete_id, activity_id, activity_date, distance, round(time_seconds, 6) as time_seconds, round(best, 6) as cumulative_pb_seconds, time_seconds = best as is_pb, case distance when 400 then '400m' when 1000 then '1k' else '2000m' end as distance_label, 'moving' as time_basis from c""",
+        "export_load": f"""with {_ACTS} select id, 'a "long", way ' || id as name, type, type as sport_type, date, strftime(make_timestamp((id * 61 % 86400) * 1000000), '%H:%M:%S') as clock, round(case when id % 103 <> 0 then distance end, 6) as distance,
+  cast(moving_time as integer) as moving_time, cast(elapsed_time as integer) as elapsed_time, average_heartrate, cast(null as double) as max_watts from activities where id % 101 <> 0 and date between date '1995-01-01' and date '2001-08-01' and type in {_TYPES}""",
+        "chart_acwr_line": f"with {_acwr(_DURATION)} select athlete_id, date, {series} from smooth where acwr_smooth is not null",
+        "chart_cohort_bands": f"with {_acwr(_DURATION)}, {_bands('smooth')} select date, {_round('p05', 'p25', 'p50', 'p75', 'p95')} from wide",
+        "chart_exposure_latest": f"with {_days(_DURATION, '2001-05-10', '2001-08-01')}, s as (select athlete_id, date, daily_load, {_mean('daily_load', 7)} as atl, {_mean('daily_load', 42)} as ctl from days) select athlete_id, date, {_round('daily_load', 'atl', 'ctl')}, round(case when ctl > 0 then atl / ctl end, 6) as acwr from s where date = date '2001-08-01'",
+        "chart_ef_trend": f"""with {_ACTS}, {_EF_BASE}, v as (select type as activity_type, date_diff('day', date '1970-01-01', date) as x, {_SPEED} as y from base where minutes >= 20 and average_heartrate between 50 and 220),
+f as (select activity_type, regr_slope(y, x) as a, regr_intercept(y, x) as b, min(x) as low, max(x) as high from v where y > 0 group by activity_type),
+g as (select activity_type, a, b, low as x from f union all select activity_type, a, b, high from f)
+select activity_type, cast(x as double) as x, round(b + a * x, 6) as fitted, date '1970-01-01' + cast(x as integer) as date from g""",
         "monthly_ef": f"with {_ACTS}, {_EF_BASE}, v as (select date, type, {_SPEED} as value from base where minutes >= 20 and average_heartrate between 50 and 220) select cast(date_trunc('month', date) as date) as month, type as activity_type, round(avg(value), 6) as mean_ef, count(*) as n from v where value > 0 group by cast(date_trunc('month', date) as date), type",
         "type_counts": f"with {_ACTS} select type, count(*) as n, min(date) as first_day, max(date) as last_day from activities group by type",
-        "activity_date_type_filter": f"with {_ACTS} select id, type, date, distance from activities where type in {_TYPES} and date between date '2000-01-01' and date '2000-12-31'",
+        "activity_date_type_filter": f"with {_ACTS} select id, type, date, distance from activities where type in ('1-URGENT', '2-HIGH') and date between date '2000-01-01' and date '2000-12-31'",
         "topk_longest": f"with {_ACTS} select id, athlete_id, distance from activities where distance is not null order by distance desc, id limit 25",
-        "union_methods": f"""with recursive {_days(_DURATION, '1998-11-06', '2000-12-31')}, {_EWMA}, {_RA}, both_ as (
-  select 'EWMA' as method, acwr, date from ewma_ratio union all select 'RA (Rolling Average)', case when ctl > 0.01 then atl / ctl end, date from ra)
-select method, count(*) as n, count(acwr) as n_known, round(avg(acwr), 6) as mean_acwr from both_ where date >= date '1999-01-01' group by method""",
-        "lm_trend": f"with {_ACTS}, {_EF_BASE}, v as (select type, date_diff('day', date '1999-01-01', date) as x, {_SPEED} as y from base where minutes >= 20 and average_heartrate between 50 and 220) select type as activity_type, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept, count(*) as n from v where y > 0 group by type",
+        "union_methods": f"""with recursive {_days(_DURATION, '1994-11-06', '2001-08-01')}, {_EWMA}, {_RA}, both_ as (
+  select 'exponential weights' as method, acwr, date from ewma_ratio union all select 'rolling means', case when ctl > 0.01 then atl / ctl end, date from ra)
+select method, count(*) as n, count(acwr) as n_known, round(avg(acwr), 6) as mean_acwr from both_ where date >= date '1995-01-01' group by method""",
+        "lm_trend": f"with {_ACTS}, {_EF_BASE}, v as (select type, date_diff('day', date '1995-01-01', date) as x, {_SPEED} as y from base where minutes >= 20 and average_heartrate between 50 and 220) select type as activity_type, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept, count(*) as n from v where y > 0 group by type",
     }

@@ -5,15 +5,21 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .. import charts
 from ..functions import distance_label, haversine, period_text
 from ..operators import acwr, cohort, coverage, efficiency, ewma, load, pbs, quality, spine, steady, trend
 from ..schema import LOAD_METRICS
+from ..sources.activities import load_local_activities
+from ..storage import as_text
 from .adapters import activities, streams
 
-START, END = "1999-01-01", "2000-12-31"
-TYPES = ("1-URGENT", "2-HIGH")
+#: the analysis spans the tables' dates and types
+START, END = "1995-01-01", "2001-08-01"
+TYPES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 HEART = {"user_max_hr": 190, "user_resting_hr": 50}
 DISTANCES = (400.0, 1000.0, 2000.0)
 STEADY = {"min_steady_minutes": 4}
@@ -33,8 +39,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_REGISTRY)
 
 
-def _series(spark, sf_dir, **options):
-    return acwr.calculate_acwr(activities(spark, sf_dir), TYPES, start_date=START, end_date=END, **options)
+def _series(spark, sf_dir, types=TYPES, **options):
+    return acwr.calculate_acwr(activities(spark, sf_dir), types, start_date=START, end_date=END, **options)
 
 
 def _with_sport(spark, sf_dir):
@@ -44,11 +50,16 @@ def _with_sport(spark, sf_dir):
     return acwr.calculate_acwr(acts, TYPES, start_date=START, end_date=END).join(sports, "athlete_id", "left")
 
 
+def _days(spark, sf_dir):
+    """Daily loads of the athletes."""
+    loads = load.with_load(activities(spark, sf_dir))
+    return spine.daily_spine(loads, types=TYPES, fetch_start=dt.date.fromisoformat(START), end=dt.date.fromisoformat(END)).select("athlete_id", "date", "daily_load")
+
+
 @query
 def load_metrics_all(spark, sf_dir):
     acts = activities(spark, sf_dir)
-    out = [F.struct(F.lit(m).alias("metric"), *[c.alias(n) for n, c in load.load_columns(acts, m, user_ftp=250, **HEART).items()]) for m in LOAD_METRICS]
-    return acts.select("id", F.explode(F.array(*out)).alias("x")).select("id", "x.metric", "x.load", "x.load_status")
+    return load.long_loads(acts, LOAD_METRICS, ("id",), user_ftp=250, **HEART)
 
 
 @query
@@ -77,7 +88,8 @@ def acwr_duration(spark, sf_dir):
 
 @query
 def acwr_missing_na(spark, sf_dir):
-    return _series(spark, sf_dir, load_metric="hrss", missing_load="na", **HEART)
+    """Of one type, so that days without load are many."""
+    return _series(spark, sf_dir, TYPES[:1], load_metric="hrss", missing_load="na", **HEART)
 
 
 @query
@@ -92,14 +104,29 @@ def acwr_ewma(spark, sf_dir):
 
 @query
 def bootstrap_resample_fixed_starts(spark, sf_dir):
-    loads = spark.sql("select sequence(1L, 10L) as loads, array(2, 5, 7) as starts")
-    block = F.transform("starts", lambda s: F.slice("loads", s, 4))
-    return loads.select(F.slice(F.flatten(block), 1, 10).alias("x")).select(F.posexplode("x").alias("place", "load"))
+    """Each athlete's daily loads of a year, put together from blocks of seven days at starts that the athlete's number fixes."""
+    days = _days(spark, sf_dir)
+
+    def put_together(part):
+        loads = part.sort_values("date").daily_load.to_numpy()
+        n = len(loads)
+        starts = (np.arange(-(-n // 7)) * 37 + int(part.athlete_id.iloc[0])) % (n - 6)
+        return pd.DataFrame({"athlete_id": part.athlete_id.iloc[0], "place": range(n), "daily_load": ewma.resample(loads, 7, starts)[0]})
+
+    return days.groupBy("athlete_id").applyInPandas(put_together, "athlete_id long, place long, daily_load double")
+
+
+@query
+def bootstrap_bands_by_day(spark, sf_dir):
+    """With blocks as long as the series there is one resampling, the series itself: both bands are the smoothed ratio."""
+    days = _days(spark, sf_dir)
+    bands = ewma.bootstrap_bands(days, ewma.smoothing_factor(3.5), ewma.smoothing_factor(14), 7, replicates=3, block_len=100_000, conf_level=0.9, seed=4)
+    return bands.filter("date >= '2000-01-01'")
 
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    return ewma.calculate_acwr_ewma(activities(spark, sf_dir), TYPES, method="ewma", ci=True, B=100, start_date=START, end_date=END)
+    return ewma.calculate_acwr_ewma(activities(spark, sf_dir), TYPES, method="ewma", ci=True, start_date=START, end_date=END)
 
 
 @query
@@ -120,7 +147,7 @@ def history_warnings(spark, sf_dir):
 
 @query
 def rest_days(spark, sf_dir):
-    days = spine.daily_spine(load.with_load(activities(spark, sf_dir)), types=TYPES, fetch_start=dt.date(1999, 1, 1), end=dt.date(2000, 12, 31))
+    days = spine.daily_spine(load.with_load(activities(spark, sf_dir)), types=TYPES, fetch_start=dt.date.fromisoformat(START), end=dt.date.fromisoformat(END))
     return days.groupBy("athlete_id").agg(F.count("*").alias("n_days"), F.count(F.when(~F.col("had_activity"), 1)).alias("n_rest"))
 
 
@@ -202,7 +229,7 @@ def sampling_interval(spark, sf_dir):
 
 @query
 def rolling_variation(spark, sf_dir):
-    s = coverage.normalized(streams(spark, sf_dir)).withColumn("k", (F.col("activity_id") * 7 + 20).cast("long"))
+    s = coverage.normalized(streams(spark, sf_dir)).withColumn("k", (F.col("activity_id") % 10 * 7 + 20).cast("long"))
     return steady.rolling_variation(s, "velocity_smooth", "k", ()).select("activity_id", "seq_no", "cv")
 
 
@@ -240,6 +267,66 @@ def haversine_track(spark, sf_dir):
     return s.withColumn("leg", leg).groupBy("activity_id").agg(F.sum("leg").alias("meters"), F.max("leg").alias("longest"))
 
 
+@query
+def ef_stream_from_distance(spark, sf_dir):
+    """Streams without speed: it comes from the distance."""
+    return efficiency.ef_from_streams(streams(spark, sf_dir).drop("velocity_smooth"), **STEADY)
+
+
+def _stream_activities(spark, sf_dir):
+    """The activities that the streams belong to, a third of the athletes' on wheels."""
+    by = streams(spark, sf_dir).groupBy("athlete_id", "activity_id").agg(F.max("time_s").alias("t"), F.max("distance").alias("distance"))
+    kind = F.when(F.col("activity_id") % 5 == 1, "Ride").otherwise("Run")
+    return by.select("athlete_id", F.col("activity_id").alias("id"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("activity_id") * 7 % 400).cast("int")).alias("date"), kind.alias("type"), F.col("t").cast("int").alias("moving_time"), "distance")
+
+
+@query
+def decoupling_of_activities(spark, sf_dir):
+    return efficiency.calculate_decoupling(_stream_activities(spark, sf_dir), streams(spark, sf_dir), "Run", start_date="2000-01-01", end_date="2000-12-31", min_duration_mins=16.5, quality_control="flag", **STEADY)
+
+
+@query
+def pbs_of_activities(spark, sf_dir):
+    return pbs.calculate_pbs(_stream_activities(spark, sf_dir), streams(spark, sf_dir), "Run", "2000-01-01", "2000-12-31", DISTANCES).drop("time_period", "elapsed_time", "moving_time")
+
+
+@query
+def export_load(spark, sf_dir):
+    """The activities through a bulk export: written as CSV in three forms of date, loaded, cleaned and filtered."""
+    acts = activities(spark, sf_dir)
+    start = F.expr("cast(date as timestamp) + make_dt_interval(0, 0, 0, id * 61 % 86400)")
+    forms = ("MMM d, yyyy, h:mm:ss a", "M/d/yyyy h:mm:ss a", "yyyy-MM-dd HH:mm:ss")
+    told = F.when(F.col("id") % 101 == 0, "some day")
+    for i, form in enumerate(forms):
+        told = told.when(F.col("id") % 3 == i, F.date_format(start, form))
+    table = acts.select(
+        F.col("id").alias("Activity ID"), told.alias("Activity Date"), F.concat(F.lit('a "long", way '), "id").alias("Activity Name"), F.col("type").alias("Activity Type"), (F.col("elapsed_time") + 0.9).alias("Elapsed Time"),
+        F.col("moving_time").alias("Moving Time"), F.when(F.col("id") % 103 == 0, "far").otherwise(F.col("distance").cast("string")).alias("Distance"), F.col("average_heartrate").alias("Average Heart Rate"), F.lit("").alias("Filename"))
+    loaded = load_local_activities(spark, as_text(table, "export"), START, END, TYPES)
+    return loaded.select("id", "name", "type", "sport_type", "date", F.date_format("start_date_local", "HH:mm:ss").alias("clock"), "distance", "moving_time", "elapsed_time", "average_heartrate", "max_watts")
+
+
+@query
+def chart_acwr_line(spark, sf_dir):
+    return charts.plot_acwr(_series(spark, sf_dir)).layers["series"]
+
+
+@query
+def chart_exposure_latest(spark, sf_dir):
+    return charts.plot_exposure(acwr.calculate_exposure(activities(spark, sf_dir), TYPES, end_date=END)).layers["latest"]
+
+
+@query
+def chart_ef_trend(spark, sf_dir):
+    return charts.plot_ef(_ef(spark, sf_dir, "speed_hr"), smoothing_method="lm", smooth_per_activity_type=True).layers["trend"]
+
+
+@query
+def chart_cohort_bands(spark, sf_dir):
+    series = _series(spark, sf_dir)
+    return charts.plot_with_reference(series, cohort.calculate_cohort_reference(series, by=None)).layers["bands"]
+
+
 @query
 def monthly_ef(spark, sf_dir):
     ef = _ef(spark, sf_dir, "speed_hr").filter("ef_value is not null")
@@ -253,7 +340,7 @@ def type_counts(spark, sf_dir):
 
 @query
 def activity_date_type_filter(spark, sf_dir):
-    return spine.in_scope(activities(spark, sf_dir), TYPES, dt.date(2000, 12, 31)).filter("date >= '2000-01-01'").select("id", "type", "date", "distance")
+    return spine.in_scope(activities(spark, sf_dir), TYPES[:2], dt.date(2000, 12, 31)).filter("date >= '2000-01-01'").select("id", "type", "date", "distance")
 
 
 @query
@@ -263,20 +350,18 @@ def topk_longest(spark, sf_dir):
 
 @query
 def union_methods(spark, sf_dir):
-    from ..charts import compare_methods
-
     acts = activities(spark, sf_dir)
     both = [ewma.calculate_acwr_ewma(acts, TYPES, method=m, start_date=START, end_date=END) for m in ("ra", "ewma")]
-    return compare_methods(*both).groupBy("method").agg(F.count("*").alias("n"), F.count("acwr").alias("n_known"), F.avg("acwr").alias("mean_acwr"))
+    return charts.compare_methods(*both).groupBy("method").agg(F.count("*").alias("n"), F.count("acwr").alias("n_known"), F.avg("acwr").alias("mean_acwr"))
 
 
 @query
 def lm_trend(spark, sf_dir):
-    ef = _ef(spark, sf_dir, "speed_hr").withColumn("day", F.datediff("date", F.lit("1999-01-01").cast("date")))
+    ef = _ef(spark, sf_dir, "speed_hr").withColumn("day", F.datediff("date", F.lit(START).cast("date")))
     return trend.linear_trend(ef, "day", "ef_value", ["activity_type"])
 
 
 @query
 def loess_trend(spark, sf_dir):
-    ef = _ef(spark, sf_dir, "speed_hr").withColumn("day", F.datediff("date", F.lit("1999-01-01").cast("date")))
+    ef = _ef(spark, sf_dir, "speed_hr").withColumn("day", F.datediff("date", F.lit(START).cast("date")))
     return trend.loess_trend(ef, "day", "ef_value", ["athlete_id", "activity_type"], points=20)

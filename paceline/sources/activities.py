@@ -9,6 +9,7 @@ import re
 import warnings
 import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -96,34 +97,43 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _zipped(spark: SparkSession, path: str) -> DataFrame:
-    """The first activities.csv of an archive; one task reads the archive and its rows."""
+    """The first activities.csv of an archive: its header is read alone, its rows once, in batches."""
     kind = "member string, row long, cells array<string>"
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for content in part.content:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in filter(_MEMBER.search, z.namelist()):
-                        with z.open(name) as f:
-                            rows = list(csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline="")))
-                        yield pd.DataFrame({"member": name, "row": range(len(rows)), "cells": rows})
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, kind)
-    heads = rows.filter("row = 0").select("member", "cells").collect()
+    archive = spark.read.format("binaryFile").load(path).select("content")
+
+    def read(member: str | None):
+        """Rows of a member; the first row of all members for None."""
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for content in part.content:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for name in filter(_MEMBER.search, z.namelist()):
+                            if member not in (None, name):
+                                continue
+                            with z.open(name) as f:
+                                rows = enumerate(csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline="")))
+                                while some := list(islice(rows, 1 if member is None else 10_000)):
+                                    yield pd.DataFrame({"member": name, "row": [i for i, _ in some], "cells": [x for _, x in some]})
+                                    if member is None:
+                                        break
+
+        return run
+
+    heads = archive.mapInPandas(read(None), kind).select("member", "cells").collect()
     if not heads:
         raise ValueError(f"no activities.csv in {path}")
     if len(heads) > 1:
         warnings.warn(f"{len(heads)} files activities.csv in {path}; using {heads[0].member}", stacklevel=3)
     names = unique_headers(heads[0].cells)
-    body = rows.filter((F.col("row") > 0) & (F.col("member") == heads[0].member))
+    body = archive.mapInPandas(read(heads[0].member), kind).filter("row > 0")
     return body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 
-def load_activities(spark: SparkSession, path: str, start_date: object = None, end_date: object = None, activity_types: str | Sequence[str] | None = None) -> DataFrame:
+def load_activities(spark: SparkSession, path: str, start_date: object = None, end_date: object = None, activity_types: str | Sequence[str] | None = None, *, ordered: bool = False) -> DataFrame:
     """The activities of an export, within dates (the last one whole) and types, in ACTIVITY_SCHEMA.
 
-    Any place that Spark reads will do. Without rows the table is empty, with all columns. Rows come unsorted; sort by
-    start_date_local for output.
+    Any place that Spark reads will do. Without rows the table is empty, with all columns. Rows come unsorted, or by start and
+    id if `ordered`: what follows a load rarely needs the order, and a sort of all rows is a shuffle.
     """
     kinds = as_types(activity_types)
     raw = _zipped(spark, path) if path.lower().endswith(".zip") else _csv(spark, path)
@@ -133,7 +143,8 @@ def load_activities(spark: SparkSession, path: str, start_date: object = None, e
         df = df.filter(F.col("start_date_local") >= F.lit(dt.datetime.combine(first, dt.time())))
     if last is not None:
         df = df.filter(F.col("start_date_local") <= F.lit(dt.datetime.combine(last, dt.time(23, 59, 59))))
-    return df if kinds is None else df.filter(F.col("type").isin(*kinds))
+    df = df if kinds is None else df.filter(F.col("type").isin(*kinds))
+    return df.orderBy("start_date_local", "id") if ordered else df
 
 
 load_local_activities = load_activities

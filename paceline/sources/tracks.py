@@ -146,41 +146,46 @@ def _frames(name: str, position: int, content: bytes) -> pd.DataFrame:
     return pd.DataFrame({"file": name, "position": position, "format": kind, "parse_status": status, "seq_no": np.arange(n)} | channels)
 
 
-def read_tracks(spark: SparkSession, export_dir: str, *, only: DataFrame | None = None) -> DataFrame:
-    """The samples of all sensor files of a folder (any depth) or an archive: file, position (in the archive, else 0), format,
-    parse_status, seq_no and the channels.  A file that gives no samples has one row, with the reason.
-
-    `only` (file) keeps files whose name without folders is among its names: others are neither unpacked nor parsed.
-    Its names are sent to the tasks while they are few; beyond 100 000 all files are parsed and the samples joined.
-    """
-    path = export_place(export_dir)
-    wanted = None
-    if only is not None:
-        names = only.select(_base(F.col("file")).alias("base")).distinct()
-        few = names.limit(100_001).collect()
-        wanted = {r.base for r in few} if len(few) <= 100_000 else None
-
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """file, position (in an archive, else 0), content of the sensor files of a folder (any depth) or an archive, one row each."""
     def use(name: str) -> bool:
-        low = name.lower()
-        return low.removesuffix(".gz").rpartition(".")[2] in KINDS and (wanted is None or low.rpartition("/")[2] in wanted)
+        return name.lower().removesuffix(".gz").rpartition(".")[2] in KINDS
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for place, content in zip(part.path, part.content):
                 if place.lower().endswith(".zip"):
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for i, name in enumerate(z.namelist()):
                             if use(name):
-                                yield _frames(name, i, z.read(name))
+                                yield pd.DataFrame({"file": [name], "position": [i], "content": [z.read(name)]})
                 elif use(place):
-                    yield _frames(place, 0, content)
+                    yield pd.DataFrame({"file": [place], "position": [0], "content": [content]})
 
     reader = spark.read.format("binaryFile")
     if not path.lower().endswith(".zip"):
         reader = reader.option("recursiveFileLookup", True)
-    out = reader.load(path).select("path", "content").mapInPandas(parse, SAMPLES)
-    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in CHANNELS})
-    return out if only is None or wanted is not None else out.join(names, _base(F.col("file")) == F.col("base"), "left_semi")
+    return reader.load(path).select("path", "content").mapInPandas(unpack, "file string, position long, content binary")
+
+
+def read_tracks(spark: SparkSession, export_dir: str, *, only: DataFrame | None = None) -> DataFrame:
+    """The samples of all sensor files of a folder (any depth) or an archive: file, position (in the archive, else 0), format,
+    parse_status, seq_no and the channels.  A file that gives no samples has one row, with the reason.
+
+    `only` (file) keeps files whose name without folders is among its names, whatever their number; others are not parsed.
+    The members of an archive are rows before they are parsed, so a shuffle of them spreads the parsing.
+    """
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, position, content in zip(part.file, part.position, part.content):
+                yield _frames(name, position, content)
+
+    files = _files(spark, export_place(export_dir))
+    if only is not None:
+        names = only.select(_base(F.col("file")).alias("base")).distinct()
+        files = files.withColumn("base", _base(F.col("file"))).join(names, "base", "left_semi").drop("base")
+    out = files.select("file", "position", "content").mapInPandas(parse, SAMPLES)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in CHANNELS})
 
 
 def _clean_path(x):

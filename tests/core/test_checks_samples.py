@@ -13,9 +13,9 @@ def test_described_results_label_charts(spark):
     df = acts(spark, [("a", d, 60) for d in range(121)])
     r = paceline.described(paceline.calculate_acwr, df, "Run", start_date="2024-04-01", end_date="2024-04-30")
     assert r.kind == "acwr" and r.params["chronic_period"] == 28 and "activities" not in r.params
-    assert charts.plot_acwr(r).labels["subtitle"] == "Metric: duration_mins | Activity: Run | 7/28d"
+    assert charts.plot_acwr(r).labels["subtitle"] == "load: duration_mins; types: Run; 7 against 28 days"
     e = paceline.described(paceline.calculate_exposure, df, "Run", end_date="2024-04-30")
-    assert charts.plot_exposure(e).labels["subtitle"].startswith("Metric: duration_mins | Acute: 7 days, Chronic: 42 days | End Date: 2024-04-30")
+    assert charts.plot_exposure(e).labels["subtitle"] == "load: duration_mins; 7 against 42 days, up to 2024-04-30"
 
 
 def test_history_is_checked(spark):

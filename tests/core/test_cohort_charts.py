@@ -67,7 +67,7 @@ def series(spark, top=1.2, ci=False):
 def test_acwr_chart(spark):
     c = charts.plot_acwr(Result(series(spark), "acwr", {"load_metric": "tss", "activity_type": ["Run"], "acute_period": 7, "chronic_period": 28}))
     assert c.scales["y"] == [0, 2.0] and c.scales["y_breaks"][-1] == 2.0 and c.scales["x"] == (dt.date(2024, 1, 2), dt.date(2024, 2, 11))
-    assert c.labels["subtitle"] == "Metric: tss | Activity: Run | 7/28d" and c.layers["series"].count() == 37
+    assert c.labels["subtitle"] == "load: tss; types: Run; 7 against 28 days" and c.layers["series"].count() == 37
     assert [m.get("name") for m in c.marks[:4]] == ["High ACWR", "Elevated ACWR", "Reference Band", "Low ACWR"]
     assert charts.plot_acwr(series(spark, 2.31)).scales["y"] == [0, pytest.approx(2.31)]
     assert charts.plot_acwr(series(spark), highlight_zones=False).scales["y"] == [0, 1.5]
@@ -84,21 +84,21 @@ def test_acwr_chart(spark):
 
 def test_bands_on_charts(spark):
     bands = cohort.calculate_cohort_reference(cohort_rows(spark), by=None)
-    c = charts.plot_acwr_enhanced(series(spark, ci=True), bands, method_label="EWMA")
-    assert c.labels["subtitle"] == "Method: EWMA | with 95% CI | vs cohort reference" and len(c.marks) == 7 + 3 + 2 and c.layers["bands"].count() == 5
+    c = charts.plot_acwr_enhanced(series(spark, ci=True), bands, method_label="weights")
+    assert c.labels["subtitle"] == "by weights; own bands shaded; over the cohort's bands" and len(c.marks) == 7 + 3 + 2 and c.layers["bands"].count() == 5
     assert len(charts.plot_acwr_enhanced(series(spark), highlight_zones=False).marks) == 1
     assert len(charts.add_reference_bands(charts.plot_acwr(series(spark)), bands, ["p50"]).marks) == 9
     with pytest.raises(TypeError):
         charts.add_reference_bands("p", bands)
-    assert charts.plot_with_reference(series(spark), bands).labels["title"] == "Acwr_smooth: Individual vs Cohort"
+    assert charts.plot_with_reference(series(spark), bands).labels["title"] == "Acwr_smooth beside a cohort"
     both = charts.plot_acwr_comparison(series(spark), series(spark, ci=True))
-    assert {r.method for r in both.layers["series"].select("method").distinct().collect()} == {"RA (Rolling Average)", "EWMA"}
+    assert {r.method for r in both.layers["series"].select("method").distinct().collect()} == {"rolling means", "exponential weights"}
 
 
 def test_other_charts(spark):
     ef = spark.createDataFrame([(D + dt.timedelta(days=i), "Run" if i % 2 else "Ride", 1 + i / 100 if i else None) for i in range(20)], "date date, activity_type string, ef_value double")
     c = charts.plot_ef(Result(ef, "ef", {"ef_metric": "power_hr"}), smooth_per_activity_type=True)
-    assert c.labels["y"] == "Efficiency Factor (Power [W] / HR)" and c.layers["points"].count() == 19 and c.layers["trend"].select("activity_type").distinct().count() == 2
+    assert c.labels["y"] == charts.EF_LABELS["power_hr"] and c.layers["points"].count() == 19 and c.layers["trend"].select("activity_type").distinct().count() == 2
     assert "trend" not in charts.plot_ef(ef, add_trend_line=False).layers
     assert charts.plot_ef(ef, smoothing_method="lm").layers["trend"].count() == 2
     dec = ef.withColumnRenamed("ef_value", "decoupling")
@@ -110,6 +110,29 @@ def test_other_charts(spark):
     p = charts.plot_pbs(pbs)
     assert p.scales["distance_order"] == ["1k", "3000m"] and p.layers["trend"].count() == 4
     assert charts.minutes_seconds(119.6) == "02:00" and charts.minutes_seconds(59) == "00:59"
-    assert len(charts.palette_nature()) == 9 and len(charts.palette_vibrant()) == 8 and charts.theme(20)["title"]["fontSize"] == 28
+    assert len(charts.palette_nature()) == 9 and len(charts.palette_vibrant()) == 8 and charts.theme(20)["title"]["fontSize"] == 30
     with pytest.raises(ValueError):
         charts.plot_exposure(ef)
+
+
+def test_every_distance_has_its_place_and_layers_are_bounded(spark):
+    rows = [(D, float(x), 10.0 + x) for x in range(100, 400)]
+    p = charts.plot_pbs(spark.createDataFrame(rows, "activity_date date, distance double, time_seconds double"))
+    assert len(p.scales["distance_order"]) == len(p.scales["facets"]) == 300 and p.scales["distance_order"][0] == "100m"
+    with pytest.raises(ValueError, match="more than 299 rows"):
+        charts.render(p, max_rows=299)
+    assert charts.render(p, max_rows=700).startswith("{")
+
+
+def test_local_regression_of_means_is_that_of_all_values(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 30, 400).astype(float)
+    y = x * x / 40 + rng.normal(0, 1, 400)
+    at = np.linspace(0, 29, 12)
+    places, back, times = np.unique(x, return_inverse=True, return_counts=True)
+    means = np.bincount(back, y) / times
+    assert np.allclose(trend.local_fit(x, y, at), trend.local_fit(places, means, at, times=times))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(4)
+    got = sorted((r.x, r.fitted) for r in trend.loess_trend(df, "x", "y", [], points=12).collect())
+    want = trend.local_fit(x, y, np.linspace(x.min(), x.max(), 12))
+    assert np.allclose([v for _, v in got], want)

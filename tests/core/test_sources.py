@@ -11,10 +11,10 @@ from paceline.sources import activities as src, fit, tracks
 
 HEAD = "Activity ID,Activity Date,Activity Name,Activity Type,Elapsed Time,Moving Time,Distance,Filename,Average Heart Rate,Relative Effort"
 ROWS = [
-    '4,"Oct 01, 2024, 11:35:00 AM",Afternoon Ride,Ride,5486,5268,33892,,132,46',
-    '5,"Oct 02, 2024, 8:35:00 AM","Run, with ""quotes""",Run,2641.9,2364,7925.5,activities/1.tcx.gz,165,',
-    "6,2024-10-03 07:00:00,Late,Run,x,,nan,activities/2.gpx,,1",
-    "7,no date,Lost,Swim,1,1,1,,,",
+    '41,"Mar 09, 2022, 6:05:10 PM",Canal loop,Ride,4001,3900,21000,,118,12',
+    '52,"Mar 10, 2022, 5:20:30 AM","Hills, ""the long way""",Run,1802.9,1777,4321.5,activities/h.tcx.gz,171,',
+    "63,2022-03-11 22:59:01,Night,Run,x,,nan,activities/n.gpx,,3",
+    "74,no date,Lost,Swim,1,1,1,,,",
 ]
 
 
@@ -28,22 +28,24 @@ def test_export_becomes_the_22_columns(spark, tmp_path):
     assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in ACTIVITY_SCHEMA]
     got = {r.id: r for r in df.collect()}
     assert len(got) == 4
-    assert got[4].start_date_local == dt.datetime(2024, 10, 1, 11, 35) and got[5].start_date_local == dt.datetime(2024, 10, 2, 8, 35) and got[6].date == dt.date(2024, 10, 3) and got[7].date is None
-    assert got[5].name == 'Run, with "quotes"' and got[5].elapsed_time == 2641 and got[5].distance == 7925.5 and got[5].relative_effort is None
-    assert got[6].elapsed_time is None and got[6].moving_time is None and got[4].sport_type == "Ride" and got[4].max_watts is None
+    assert got[41].start_date_local == dt.datetime(2022, 3, 9, 18, 5, 10) and got[52].start_date_local == dt.datetime(2022, 3, 10, 5, 20, 30) and got[63].date == dt.date(2022, 3, 11) and got[74].date is None
+    assert got[52].name == 'Hills, "the long way"' and got[52].elapsed_time == 1802 and got[52].distance == 4321.5 and got[52].relative_effort is None
+    assert got[63].elapsed_time is None and got[63].moving_time is None and got[41].sport_type == "Ride" and got[41].max_watts is None
+    in_order = src.load_activities(spark, str(tmp_path / "activities.csv"), start_date="2022-01-01", ordered=True).collect()
+    assert [r.id for r in in_order] == [41, 52, 63]
 
 
 def test_repeated_headers(spark, tmp_path):
-    text = "Activity ID,Activity Date,Activity Name,Activity Type,Elapsed Time,Distance,Moving Time,Elapsed Time,Distance,Moving Time\n1,2024-01-01 08:00:00,a,Run,35,5.0,32,2100,5000,1950\n"
+    text = "Activity ID,Activity Date,Activity Name,Activity Type,Elapsed Time,Distance,Moving Time,Elapsed Time,Distance,Moving Time\n1,2023-07-07 08:00:00,a,Run,12,0.7,11,731,689.5,702\n"
     r = src.load_activities(spark, write(tmp_path / "a.csv", text)).first()
-    assert (r.distance, r.elapsed_time, r.moving_time) == (5000, 2100, 1950)
+    assert (r.distance, r.elapsed_time, r.moving_time) == (689.5, 731, 702)
     assert src.unique_headers(["Distance", "Distance", "Distance", "", "x"]) == ["Distance", "Distance.1", "Distance.2", "column4", "x"]
 
 
 def test_filters_headers_and_empty_files(spark, tmp_path):
     path = write(tmp_path / "activities.csv", "\n".join([HEAD, *ROWS]))
     ids = lambda **o: sorted(r.id for r in src.load_activities(spark, path, **o).collect())
-    assert ids(end_date="2024-10-01") == [4] and ids(start_date="2024-10-02") == [5, 6] and ids(activity_types="Run") == [5, 6]
+    assert ids(end_date="2022-03-09") == [41] and ids(start_date="2022-03-10") == [52, 63] and ids(activity_types="Run") == [52, 63]
     with pytest.raises(ValueError):
         src.load_activities(spark, path, activity_types=[1])
     empty = src.load_activities(spark, write(tmp_path / "empty.csv", HEAD + "\n"))
@@ -58,7 +60,7 @@ def test_archives(spark, tmp_path):
     path = tmp_path / "export.ZIP"
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("a/Activities.csv", "﻿" + "\n".join([HEAD, *ROWS]))
-    assert sorted(r.id for r in src.load_activities(spark, str(path)).collect()) == [4, 5, 6, 7]
+    assert sorted(r.id for r in src.load_activities(spark, str(path)).collect()) == [41, 52, 63, 74]
     with zipfile.ZipFile(path, "a") as z:
         z.writestr("b/activities.csv", HEAD + "\n9,2024-01-01 08:00:00,n,Run,1,1,1,,,\n")
     with pytest.warns(UserWarning):
@@ -123,6 +125,20 @@ def test_from_archive_to_records(spark, tmp_path):
     assert [(r.activity_id, r.distance_label, round(r.time_seconds, 3), r.is_pb) for r in got] == [(1, "400m", 133.333, True), (1, "1k", 333.333, True), (2, "400m", 100, True), (2, "1k", 250, True)]
     ef = {r.activity_id: r.status for r in efficiency.calculate_ef(acts, "Run", "speed_hr", "2024-12-31", "2025-02-01", min_steady_minutes=5, streams=streams).collect()}
     assert ef == {1: "ok", 2: "ok", 3: "no_streams", 4: "no_streams"}
+    direct = efficiency.calculate_ef(acts, "Run", "speed_hr", "2024-12-31", "2025-02-01", min_steady_minutes=5, export_dir=str(path), ordered=True).collect()
+    assert [(r.activity_id, r.status) for r in direct] == [(1, "ok"), (2, "ok"), (3, "no_streams"), (4, "no_streams")]
+    drift = efficiency.calculate_decoupling(acts, activity_type="Run", start_date="2024-12-31", end_date="2025-02-01", min_steady_minutes=5, export_dir=str(path), ordered=True).collect()
+    assert [(r.activity_id, r.status) for r in drift] == [(1, "ok"), (2, "ok")]
+    again = pbs.calculate_pbs(acts, activity_type="Run", start_date="2025-01-01", end_date="2025-02-01", distances_m=[1000, 400], export_dir=str(path), ordered=True).collect()
+    assert [(r.activity_id, r.distance_label, r.time_seconds) for r in again] == [(r.activity_id, r.distance_label, r.time_seconds) for r in got]
+    one_stream = streams.filter("activity_id = 1").drop("athlete_id", "activity_id")
+    alone = efficiency.calculate_decoupling(stream_df=one_stream, min_steady_minutes=5)
+    assert alone.columns == ["decoupling"] and alone.first().decoupling is not None
+    told = efficiency.calculate_decoupling(stream_df=one_stream, min_steady_minutes=5, return_diagnostics=True)
+    assert told.first().status == "ok" and told.columns == ["decoupling", "status", "quality_score", "hr_coverage", "steady_duration_minutes", "sampling_interval_seconds"]
+    for call in (lambda: efficiency.calculate_ef(acts, "Swim", checked=True), lambda: pbs.calculate_pbs(acts, streams, "Swim", checked=True), lambda: efficiency.calculate_decoupling(acts, streams, "Swim", checked=True), lambda: pbs.calculate_pbs(acts)):
+        with pytest.raises(ValueError):
+            call()
     one = tracks.parse_activity_file(spark, "one.TCX", str(path))
     assert one.count() == 900
     assert [r.parse_status[:6] for r in tracks.read_tracks(spark, str(path)).filter("seq_no is null").collect()] == ["failed"]
@@ -139,3 +155,19 @@ def test_folders_and_sinks(spark, tmp_path):
     for form in ("parquet", "csv", "json", "orc"):
         src.write_table(got.drop("file"), str(tmp_path / form), form=form)
         assert spark.read.format(form).option("header", True).load(str(tmp_path / form)).count() == 5
+
+
+def test_names_of_any_number_are_a_join(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "export.zip", "w") as z:
+        for i in range(6):
+            z.writestr(f"activities/a{i}.gpx", GPX)
+    names = spark.range(3, 150_000).selectExpr("concat('activities/A', id, '.GPX') as file")
+    got = tracks.read_tracks(spark, str(tmp_path / "export.zip"), only=names)
+    assert {r.file for r in got.select("file").distinct().collect()} == {f"activities/a{i}.gpx" for i in (3, 4, 5)}
+
+
+def test_activities_without_ids_are_numbered_alike_each_time(spark):
+    acts = spark.createDataFrame([("x", dt.date(2024, 1, 1 + i % 3), 5000.0 + i, "Run", "f") for i in range(9)], "athlete_id string, date date, distance double, type string, filename string")
+    samples = spark.createDataFrame([("x", k, i, float(i), i * (2.0 + k / 10)) for k in range(1, 10) for i in range(700)], "athlete_id string, activity_id long, seq_no long, time_s double, distance double")
+    runs = [sorted((r.activity_id, r.activity_date, round(r.time_seconds, 6)) for r in pbs.calculate_pbs(a, samples, "Run", "2024-01-01", "2024-02-01", [1000]).collect()) for a in (acts, acts.repartition(5, "distance"))]
+    assert runs[0] == runs[1] and len(runs[0]) == 9
