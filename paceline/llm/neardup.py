@@ -28,6 +28,7 @@ _NODES = 1500
 _BLOCK = 1024
 _CELL_ROWS = 2000
 _SALTS = 64
+_SHARES = 16
 #: a byte of a word
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _BITS = 44
@@ -225,23 +226,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node reached from each node of the edges (a, b); by least neighbours and shortcuts, to a fixed point.
 
-    Roots only fall, so it ends; there is no other bound on the rounds.  Nodes of many edges, and roots of many nodes, are split.
+    Roots only fall, so it ends; there is no other bound on the rounds.  A node of many edges, or a root of many nodes, is looked
+    up from _SHARES tasks: each node's root is there once for each of them.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = written(both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(_SALTS)).cast("int")), "dup-edges")
-    ends = written(both.select("b", "salt").distinct(), "dup-ends")
+    share = lambda by: F.pmod(F.xxhash64(by), F.lit(_SHARES)).cast("int")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct().withColumn("share", share("a")), "dup-edges")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "dup-roots")
     while True:
-        of_b = ends.join(roots.select(F.col("node").alias("b"), "root"), "b")
-        near = both.join(of_b, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        least = written(roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid")), "dup-least")
-        jump = roots.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        fresh = written(_told(least, jump, "mid", "node").select("node", F.least("mid", "far").alias("root"), "old"), "dup-roots")
-        dropped(roots, least)
+        shared = roots.select("node", "root", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("share"))
+        near = both.join(shared.select(F.col("node").alias("b"), "root", "share"), ["b", "share"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        least = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid")).withColumn("share", share("node"))
+        jump = shared.select(F.col("node").alias("mid"), F.col("root").alias("far"), "share")
+        fresh = written(least.join(jump, ["mid", "share"]).select("node", F.least("mid", "far").alias("root"), "old"), "dup-roots")
+        dropped(roots)
         roots = fresh.drop("old")
         roots._written_path = fresh._written_path
         if fresh.filter("root != old").isEmpty():
-            dropped(both, ends)
+            dropped(both)
             return roots
 
 
