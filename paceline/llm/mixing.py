@@ -62,13 +62,14 @@ def _cuts(slim: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataF
     before = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     at = ranges.withColumn("_offset", F.coalesce(F.sum("words").over(before), F.lit(0))).join(budget.select("_src", "rest"), "_src")
     at = at.filter((F.col("_offset") < F.col("rest")) & (F.col("rest") <= F.col("_offset") + F.col("words"))).drop("words")
+    at = written(at, "mix-at")  # a row for each source: as a table its size is known, so it is sent to the rows
     rows = ranged.join(at, ["_src", "_range"]).groupBy("_src", "_range", "_key", "_twin", "doc_id", "source", "_offset", "rest").agg(F.max("_size").alias("_one"), F.count("*").alias("_n"), F.sum("_size").alias("_all"))
     inside = Window.partitionBy("_src", "_range").orderBy("_key", "_twin").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_part", F.col("rest") - F.col("_offset") - F.coalesce(F.sum("_all").over(inside), F.lit(0)))
     rows = rows.filter((F.col("_part") > 0) & (F.col("_part") <= F.col("_all")))
     cut = rows.select("_src", F.col("_key").alias("_at_key"), F.col("_twin").alias("_at_twin"), "doc_id", "source", "_one", "_n", "_part")
     out = written(budget.join(cut, "_src", "left"), "mix-cuts")
-    dropped(ranges)
+    dropped(ranges, at)
     return out
 
 
@@ -97,7 +98,9 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_epochs:
     again = cuts.filter("_n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_STEP}"))))
     again = again.withColumn("i", F.explode(F.sequence(F.col("i") * _STEP, F.least(F.col("i") * _STEP + (_STEP - 1), F.col("_n") - 1))))
     taken = F.col("_one") * F.col("whole") + F.greatest(F.lit(0), F.least("_one", F.col("_part") - F.col("i") * F.col("_one")))
-    return rows.unionByName(again.select("doc_id", "source", F.col("_one").alias("size"), "source_size", "target", taken.alias("taken")))
+    out = written(rows.unionByName(again.select("doc_id", "source", F.col("_one").alias("size"), "source_size", "target", taken.alias("taken"))), "mix-taken")
+    dropped(slim, cuts)
+    return out
 
 
 def mixed(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 11) -> DataFrame:
@@ -110,7 +113,7 @@ def mixed(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_epochs
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(WORDS)).cast("long")
     slim = written(docs.select("doc_id", "source", size.alias("_size"), *_keys(seed)), "mix")
-    cuts = _cuts(slim, weights, max_epochs).drop("doc_id", "source", "source_size", "target")
+    cuts = _cuts(slim, weights, max_epochs).drop("doc_id", "source", "source_size", "target")  # a row for each source; it stays
     dropped(slim)
     before, at = _at_cut()
     toss = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_place"), 11) / F.lit(float(1 << 53))
