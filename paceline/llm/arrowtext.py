@@ -149,7 +149,15 @@ def shingles(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
                 ok[x[(x >= 0) & (x < n)]] = False
             long = np.repeat(count >= k, size)
             out[long] = full[ok]
-        for r in np.flatnonzero((count > 0) & (count < k)):
-            part = h[row[r] : row[r + 1]]
-            out[off[r]] = mix64(np.array([(part * _SLOT_CODE[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part))]))[0]
+    for r in np.flatnonzero((count > 0) & (count < k)):
+        out[off[r]] = short_keys(h[row[r] : row[r + 1]], count[r])[0]
     return out, off
+
+
+def short_keys(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive words: of n words alone, the shingle of a text that has no more of them."""
+    with np.errstate(over="ignore"):
+        total = np.full(len(h) - n + 1, n, np.uint64)
+        for j in range(n):
+            total += h[j : j + len(total)] * _SLOT_CODE[j]
+        return mix64(total)

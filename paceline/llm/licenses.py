@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrowtext import mix64, shingles, text_runs, words
+from .arrowtext import mix64, shingles, short_keys, text_runs, words
 
 SHINGLE = 5
 
@@ -19,6 +19,8 @@ TEMPLATES = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
@@ -36,19 +38,27 @@ TEMPLATES = (
 
 
 def _template_shingles(text: str) -> np.ndarray:
+    """The shingles of a template; one of fewer words is a single shingle of them all."""
     raw = np.frombuffer(text.encode(), np.uint8)
     _, _, h, row = words(raw, np.array([0, len(raw)]))
-    if len(h) < SHINGLE:
-        raise ValueError(f"a template needs {SHINGLE} words: {text!r}")
+    if not len(h):
+        raise ValueError(f"a template needs words: {text!r}")
     return shingles(h, row, SHINGLE)[0]
 
 
+def _n_words(text: str) -> int:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return len(words(raw, np.array([0, len(raw)]))[2])
+
+
 class Index:
     """Band keys of templates, by the length of their windows.
 
     A window has as many shingles as the template and begins at a multiple of a stride of an eighth of that at most.  If the text
     holds a share `containment` of the template's shingles in a stretch of that length, the best window has at least the
-    similarity `low`; two rows a band, and so many bands that one collides with probability 1 - miss.
+    similarity `low`; two rows a band, and so many bands that one collides with probability 1 - miss.  What they retrieve is verified
+    in stretches of up to one and a half lengths, so looser places are found too, with a lower probability.
+    Templates of fewer than five words have no window: they are looked up by all their words.
     """
 
     def __init__(self, templates, containment: float = 0.8, miss: float = 1e-5, seed: int = 17):
@@ -56,9 +66,14 @@ class Index:
         self.sets = [np.unique(_template_shingles(t)) for _, t in templates]
         self.sizes = [len(_template_shingles(t)) for _, t in templates]
         self.containment = containment
+        n_words = [_n_words(t) for _, t in templates]
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for i, n in enumerate(n_words):
+            if n < SHINGLE:
+                self.short.setdefault(n, []).append((int(self.sets[i][0]), i))
         rng = np.random.default_rng(seed)
         self.groups = []
-        for n in sorted(set(self.sizes)):
+        for n in sorted({s for s, w in zip(self.sizes, n_words) if w >= SHINGLE}):
             stride = 1
             while stride * 2 <= n // 8:
                 stride *= 2
@@ -66,7 +81,7 @@ class Index:
             shared = max(1, ceil(containment * n - 1e-9) - stride // 2 - (n - span))
             low = shared / (n + span - shared)
             bands = 1 if low >= 1 else ceil(log(miss) / log(1 - low * low))
-            self.groups.append((n, stride, span, bands, [i for i, s in enumerate(self.sizes) if s == n]))
+            self.groups.append((n, stride, span, bands, [i for i, s in enumerate(self.sizes) if s == n and n_words[i] >= SHINGLE]))
         most = max((g[3] for g in self.groups), default=0)
         self.factors = rng.integers(0, 2**63, 2 * most, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.keys = []
@@ -122,7 +137,7 @@ class Index:
         return found
 
     def matches(self, s: np.ndarray, row: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-        """(row, template, containment, first, last shingle of the row) of verified templates, overlapping ones merged."""
+        """(row, template, containment, first, last shingle of the row) of verified templates, each place once."""
         by: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for begin, end, t in self.candidates(s):
             slack = self.sizes[t] // 2
@@ -143,22 +158,35 @@ class Index:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                best = self._best(s[a:b], t)
-                if best:
-                    out.append((r, t, best[0], a + best[1] - int(row[r]), a + best[2] - int(row[r])))
+                out += [(r, t, share, a + first - int(row[r]), a + last - int(row[r])) for share, first, last in self._places(s[a:b], t)]
+        return out
+
+    def short_matches(self, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """(row, template, 1.0, first, last word of the row) of templates of fewer than five words."""
+        out = []
+        for n, known in self.short.items():
+            if len(h) < n:
+                continue
+            keys, at = short_keys(h, n), np.arange(len(h) - n + 1)
+            inside = np.searchsorted(row, at, "right") == np.searchsorted(row, at + n - 1, "right")
+            for key, t in known:
+                for at in np.flatnonzero((keys == np.uint64(key)) & inside).tolist():
+                    r = int(np.searchsorted(row, at, "right")) - 1
+                    out.append((r, t, 1.0, at - int(row[r]), at - int(row[r]) + n - 1))
         return out
 
-    def _best(self, s: np.ndarray, t: int) -> tuple[float, int, int] | None:
-        """The largest exact containment in a stretch of one and a half times the template's length, and its first and last hit."""
+    def _places(self, s: np.ndarray, t: int) -> list[tuple[float, int, int]]:
+        """Disjoint stretches of one and a half times the template's length at most whose exact containment suffices, from left to
+        right, of those that overlap the best: containment, first and last hit."""
         want = self.sets[t]
-        hit = np.flatnonzero(np.isin(s, want))
-        reach, best = self.sizes[t] + self.sizes[t] // 2, None
+        hit = np.flatnonzero(np.isin(s, want)).tolist()
+        reach, out = self.sizes[t] + self.sizes[t] // 2, []
         count: dict[int, int] = {}
-        left = 0
-        for k, at in enumerate(hit.tolist()):
-            x = int(s[at])
+        best, left, k = None, 0, 0
+        while k < len(hit):
+            x = int(s[hit[k]])
             count[x] = count.get(x, 0) + 1
-            while at - hit[left] >= reach:
+            while hit[k] - hit[left] >= reach:
                 y = int(s[hit[left]])
                 count[y] -= 1
                 if not count[y]:
@@ -166,16 +194,22 @@ class Index:
                 left += 1
             share = len(count) / len(want)
             if share >= self.containment - 1e-9 and (best is None or share > best[0]):
-                best = (share, int(hit[left]), at)
-        return best
+                best = (share, hit[left], hit[k])
+            k += 1
+            if best and (k == len(hit) or hit[k] - best[1] >= reach):  # nothing beyond overlaps it by more
+                out.append(best)
+                k = left = int(np.searchsorted(hit, best[2], "right"))
+                count, best = {}, None
+        return out
 
 
 def scan(docs: DataFrame, *, templates=TEMPLATES, containment: float = 0.8, text: str = "text", out: str = "licenses") -> DataFrame:
     """docs with the array column `out` of structs (license, template, containment, first_word, last_word), by place.
 
     A template matches where a stretch of one and a half times its length holds the share `containment` of its distinct shingles
-    of five words.  Null, empty and short texts match nothing; repeated notices at different places are told apart if their
-    windows do not touch.  Templates (a bounded list of five words or more each) go to every task.  Other columns pass through.
+    of five words; one of fewer words where all of them follow each other.  Repeated notices are matches of their own, also side
+    by side.  Null and empty texts match nothing; very long ones are scanned whole; repeated rows are rows of their own; an empty
+    table gives no rows.  Templates (a bounded list) go to every task.  Other columns pass through, but for one named `out`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Index(templates, containment))
     df = docs.select(*[c for c in docs.columns if c != out]).withColumn(out, F.lit(None).cast("array<struct<license:string,template:int,containment:double,first_word:bigint,last_word:bigint>>"))
@@ -188,6 +222,8 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, containment: float = 0.8, text
             rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
             for r, t, share, first, last in index.matches(s, at) if len(s) else ():
                 rows[r].append({"license": index.names[t], "template": t, "containment": share, "first_word": first, "last_word": last + SHINGLE - 1})
+            for r, t, share, first, last in index.short_matches(h, row):
+                rows[r].append({"license": index.names[t], "template": t, "containment": share, "first_word": first, "last_word": last})
             for x in rows:
                 x.sort(key=lambda m: (m["first_word"], m["template"]))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, part.schema.field(part.num_columns - 1).type)], schema=part.schema)

@@ -61,7 +61,8 @@ def test_columns_and_runs():
 
 
 def test_written_tables_can_be_dropped(spark):
-    from paceline.llm.store import dropped, shared_dir, written
+    from paceline.llm.store import dropped, written
+    from paceline.storage import shared_dir
 
     df = written(spark.range(5), "t")
     assert df.count() == 5 and df._written_path.startswith(shared_dir(spark))
