@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrowtext import text_runs, words
 from .langid import held_out
-from .store import written
+from .store import dropped, written
 
 STATISTICS = (
     "log_bytes", "log_words", "upper", "lower", "digit", "blank", "newline", "bang", "mark", "symbol", "other",
@@ -229,10 +229,14 @@ def score(rows: DataFrame, model: Model, *, out: str = "score", calibrated: bool
 def report(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; of labels (doc_id, quality), those of held-out ids are not read.
 
-    Null texts are empty texts; null labels and labels without a document teach nothing; repeated labels count as often.
+    Null texts are empty texts; null labels and labels without a document teach nothing; repeated labels count as often, and
+    repeated rows are rows of their own, of equal scores.  Very long texts are read whole; an empty table gives no rows.
+    Other columns are not read.
     """
     table = written(with_statistics(docs.select("doc_id", "text")), "statistics")
     y = labels.filter(F.col("quality").isNotNull() & ~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").cast("double").alias("y"))
-    model = fit(written(table.join(y, "doc_id"), "labelled"), held_out("doc_id", 5, 1))
-    scored = score(table, model)
-    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    labelled = written(table.join(y, "doc_id"), "labelled")
+    scored = score(table, fit(labelled, held_out("doc_id", 5, 1)))
+    out = written(scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")), "scored")
+    dropped(table, labelled)
+    return out

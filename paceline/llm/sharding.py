@@ -143,11 +143,14 @@ def shards(docs: DataFrame, *, n_shards: int = 40, seed: int = 23, keep: tuple[s
     rows = rows.withColumn("shard", F.size(F.filter("ends", lambda x: x < F.col("_r")))).withColumn("_again", F.xxhash64(F.lit(seed + 2), "_key"))
     sub_bits = max(0, (max(1, n // n_shards // _ROWS_PER_BLOCK) - 1).bit_length())
     sub = F.shiftrightunsigned("_again", 64 - sub_bits) if sub_bits else F.lit(0).cast("long")
-    rows = written(rows.drop("ends", "_block", "_r").withColumn("_sub", sub), "shard-sent")
+    rows = sent = written(rows.drop("ends", "_block", "_r").withColumn("_sub", sub), "shard-sent")
     dropped(first)
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy("shard", "_sub").agg(F.count("*").alias("n")).withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     again = Window.partitionBy("shard", "_sub").orderBy("_again", "doc_id", "size", "text_crc32")
     rows = rows.withColumn("_r", F.row_number().over(again)).join(offset, ["shard", "_sub"])
     own_columns = [F.col("_own")[c].alias(c) for c in keep]
-    return rows.select("doc_id", *own_columns, "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_offset") + F.col("_r") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = rows.select("doc_id", *own_columns, "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_offset") + F.col("_r") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = written(out, "shards")
+    dropped(sent)
+    return out

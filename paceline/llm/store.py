@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import new_place
 
 #: rows may hold packed arrays; small row groups keep a reader's batch small
 _ROW_GROUP = 16 << 20
 #: a table is written by one execution, so its shuffle files are of no use after that
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session.  Unset, a session of one process gets a folder of its own, which goes when it ends;
-    on a cluster there is no folder to guess that all machines see: an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="paceline-")
-            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-        path = _OWN[app]
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return path.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder, read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_place(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -191,7 +191,11 @@ def padded(data: bytes, unit: int = 64) -> bytes:
 
 
 def packed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, media: each whole text as UTF-8, padded, in a transport stream. Null texts are empty."""
+    """doc_id, n_bytes, media: each whole text as UTF-8, padded, in a transport stream.
+
+    Null texts are empty; equal texts give equal media; repeated rows and null ids are rows of their own; an empty table gives no
+    rows.  A very long text is one row with its media and takes about three times its size in the worker.  Other columns are not read.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_runs(batches, text):
             raw = data.tobytes()
@@ -205,8 +209,11 @@ def packed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
 def unpacked(media: DataFrame, *, payloads: bool = False) -> DataFrame:
     """What demux() finds in the column `media`, beside the other columns: sizes and digests of the joined payload of the
     first program's streams, units with timestamps and random-access points, counts of errors, feature, and on demand the payload.
-    Null or broken media give an empty payload.
+    Null or broken media give an empty payload; repeated rows are rows of their own; an empty table gives no rows.  Other columns
+    pass through, but for those named like one of the result, which are replaced.
     """
+    told = "payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature counter_errors units payload".split()
+    media = media.select(*[c for c in media.columns if c.lower() not in told])
     others = [f for f in media.schema.fields if f.name != "media"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     more = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, counter_errors long, units {UNITS}"
@@ -229,6 +236,6 @@ def unpacked(media: DataFrame, *, payloads: bool = False) -> DataFrame:
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, errors, units, payload))
             cols = list(zip(*out)) if out else [[]] * 9
             keep = 9 if payloads else 8
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(c, k) for c, k in zip(cols[:keep], kinds)], names=[n for n in batch.schema.names if n != "media"] + [*"payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature counter_errors units payload".split()][:keep])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(c, k) for c, k in zip(cols[:keep], kinds)], names=[n for n in batch.schema.names if n != "media"] + told[:keep])
 
     return media.mapInArrow(run, ", ".join(x for x in (schema, more, "payload binary" if payloads else "") if x))
