@@ -250,6 +250,11 @@ c as (select *, min(time_seconds) over (partition by athlete_id, distance order
 select athlete_id, activity_id, activity_date, distance, round(time_seconds, 6) as time_seconds, round(best, 6) as cumulative_pb_seconds, time_seconds = best as is_pb, case distance when 400 then '400m' when 1000 then '1k' else '2000m' end as distance_label, 'moving' as time_basis from c""",
         "export_load": f"""with {_ACTS} select id, 'a "long", way ' || id as name, type, type as sport_type, date, strftime(make_timestamp((id * 61 % 86400) * 1000000), '%H:%M:%S') as clock, round(case when id % 103 <> 0 then distance end, 6) as distance,
   cast(moving_time as integer) as moving_time, cast(elapsed_time as integer) as elapsed_time, average_heartrate, cast(null as double) as max_watts from activities where id % 101 <> 0 and date between date '1995-01-01' and date '2001-08-01' and type in {_TYPES}""",
+        "export_tracks": f"""with {_STREAMS}, p as (select *, radians(seq_no * 0.0001 + 1.3) as a, radians(seq_no % 50 * 0.0002 + 103.8) as o from streams),
+q as (select *, lag(a) over w as a0, lag(o) over w as o0, lag(distance) over w as d0 from p window w as (partition by activity_id order by seq_no)),
+l as (select *, 2 * 6371000 * asin(sqrt(pow(sin((a - a0) / 2), 2) + cos(a0) * cos(a) * pow(sin((o - o0) / 2), 2))) as leg from q)
+select activity_id, case when activity_id % 2 = 0 then 'gpx' else 'tcx' end as format, 'ok' as parse_status, count(*) as n, count(heartrate) as n_heart, sum(heartrate) as heart, case when activity_id % 2 = 1 then sum(watts) end as watts,
+  round(case when activity_id % 2 = 0 then sum(leg) else max(distance) end, 6) as distance, round(case when activity_id % 2 = 0 then max(leg) else max(distance - d0) end, 6) as speed, cast(max(time_s) - min(time_s) as double) as seconds from l group by activity_id""",
         "chart_acwr_line": f"with {_acwr(_DURATION)} select athlete_id, date, {series} from smooth where acwr_smooth is not null",
         "chart_cohort_bands": f"with {_acwr(_DURATION)}, {_bands('smooth')} select date, {_round('p05', 'p25', 'p50', 'p75', 'p95')} from wide",
         "chart_exposure_latest": f"with {_days(_DURATION, '2001-05-10', '2001-08-01')}, s as (select athlete_id, date, daily_load, {_mean('daily_load', 7)} as atl, {_mean('daily_load', 42)} as ctl from days) select athlete_id, date, {_round('daily_load', 'atl', 'ctl')}, round(case when ctl > 0 then atl / ctl end, 6) as acwr from s where date = date '2001-08-01'",

@@ -14,7 +14,8 @@ from ..functions import distance_label, haversine, period_text
 from ..operators import acwr, cohort, coverage, efficiency, ewma, load, pbs, quality, spine, steady, trend
 from ..schema import LOAD_METRICS
 from ..sources.activities import load_local_activities
-from ..storage import as_text
+from ..sources.tracks import read_tracks
+from ..storage import as_files, as_text
 from .adapters import activities, streams
 
 #: the analysis spans the tables' dates and types
@@ -306,6 +307,30 @@ def export_load(spark, sf_dir):
     return loaded.select("id", "name", "type", "sport_type", "date", F.date_format("start_date_local", "HH:mm:ss").alias("clock"), "distance", "moving_time", "elapsed_time", "average_heartrate", "max_watts")
 
 
+_DOCUMENTS = {
+    "gpx": ("<gpx><trk><trkseg>", "</trkseg></trk></gpx>", """format_string('<trkpt lat="%s" lon="%s"><time>%s</time><extensions><hr>%s</hr></extensions></trkpt>', lat, lon, at, hr)"""),
+    "tcx": ("<TrainingCenterDatabase><Activities><Activity><Lap><Track>", "</Track></Lap></Activity></Activities></TrainingCenterDatabase>",
+            "format_string('<Trackpoint><Time>%s</Time><DistanceMeters>%s</DistanceMeters><HeartRateBpm><Value>%s</Value></HeartRateBpm><Extensions><TPX><Watts>%s</Watts></TPX></Extensions></Trackpoint>', at, distance, hr, watts)"),
+}
+
+
+@query
+def export_tracks(spark, sf_dir):
+    """The streams through sensor files: even activities written as GPX, odd ones as gzipped TCX, parsed and summed up by file."""
+    s = streams(spark, sf_dir).selectExpr(
+        "activity_id as key", "seq_no as place", "seq_no * 0.0001D + 1.3D as lat", "seq_no % 50 * 0.0002D + 103.8D as lon", "distance", "watts", "coalesce(cast(heartrate as string), '') as hr",
+        "format_string('2020-01-01T%02d:%02d:%02dZ', seq_no div 3600, seq_no % 3600 div 60, seq_no % 60) as at")
+    parsed = []
+    for i, (form, (head, foot, point)) in enumerate(_DOCUMENTS.items()):
+        points = s.filter(F.col("key") % 2 == i)
+        ends = points.groupBy("key").agg(F.max("place").alias("last")).selectExpr("key", f"inline(array(struct(-1L as place, '{head}' as line), struct(last + 1 as place, '{foot}' as line)))")
+        path = as_files(points.selectExpr("key", "place", f"{point} as line").unionByName(ends), "tracks", form, "gzip" if form == "tcx" else "none")
+        parsed.append(read_tracks(spark, path))
+    rows = parsed[0].unionByName(parsed[1]).withColumn("activity_id", F.regexp_extract("file", r"key=(\d+)", 1).cast("long"))
+    return rows.groupBy("activity_id", "format", "parse_status").agg(
+        F.count("*").alias("n"), F.count("heartrate").alias("n_heart"), F.sum("heartrate").alias("heart"), F.sum("watts").alias("watts"), F.max("distance").alias("distance"), F.max("speed").alias("speed"), (F.max("time_s") - F.min("time_s")).alias("seconds"))
+
+
 @query
 def chart_acwr_line(spark, sf_dir):
     return charts.plot_acwr(_series(spark, sf_dir)).layers["series"]

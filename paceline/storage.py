@@ -33,6 +33,17 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def as_files(lines: DataFrame, name: str, extension: str, compression: str = "none") -> str:
+    """Writes lines (key, place, line) as one text file for each key, lines by place, into the shared folder; its path.
+
+    The files are in folders key=…; extension: three letters.
+    """
+    path = new_place(lines.sparkSession, name)
+    rows = lines.repartition("key").sortWithinPartitions("key", "place").select("key", "line")
+    rows.write.options(header=False, sep="\x01", quote="", extension=extension, compression=compression).partitionBy("key").csv(path)
+    return path
+
+
 def as_text(df: DataFrame, name: str) -> str:
     """Writes a table as CSV with a header into the shared folder; its path."""
     path = new_place(df.sparkSession, name)
