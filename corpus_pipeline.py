@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from paceline.llm import decontaminate, langid, mixing, neardup, sharding
 from paceline.llm.store import dropped, written
 
+#: weighted similarity of shingles of five words from which documents are near duplicates
+NEAR = 0.8
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -21,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each class of near duplicates."""
-    return neardup.deduplicated(docs)
+    """One document, the one with the least id, of each class of near duplicates; documents without words all stay."""
+    return neardup.deduplicated(docs, threshold=NEAR)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
