@@ -93,3 +93,11 @@ def test_each_of_repeated_notices_is_a_match(spark):
     assert got == {1: ("MIT", 7), 2: ("ISC", 3), 3: ("ISC,MIT", 4), 4: ("ISC", 1), 5: ("", 0), 6: ("MIT", 4000)}
     places = lic.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 3").first().licenses
     assert [m.license for m in places] == ["ISC", "MIT", "MIT", "ISC"] and all(a.last_word < b.first_word for a, b in zip(places, places[1:]))
+
+
+def test_a_text_of_megabytes(spark):
+    rng = random.Random(2)
+    noise = lambda n: " ".join(f"{rng.choice('abc')}{rng.randrange(9999)}" for _ in range(n))
+    long = next(t for n, t in lic.TEMPLATES if n == "BSD-3-Clause")
+    df = spark.createDataFrame([(1, f"{noise(400_000)} {long} {noise(300_000)} {long}"), (2, noise(10))], "doc_id long, text string")
+    assert {r.doc_id: (r.licenses, r.n_matches) for r in lic.report(df).collect()} == {1: ("BSD-3-Clause", 2), 2: ("", 0)}

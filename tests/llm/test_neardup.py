@@ -160,3 +160,17 @@ def test_signatures_estimate_the_weighted_similarity():
     assert (sig[2] == neardup._NOTHING).all() and (sig[:2] != neardup._NOTHING).all()
     alone = neardup.dart_signatures(np.zeros(40, int)[b > 0], elements[b > 0], b[b > 0], 1, 4000)
     assert (alone[0] == sig[1]).all()
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(4)
+    words_ = [f"w{rng.randrange(10**6)}" for _ in range(500_000)]
+    edited = list(words_)
+    for _ in range(4000):  # a similarity of about 0.92
+        edited[rng.randrange(len(edited))] = "edited"
+    far = list(words_)
+    for _ in range(60_000):
+        far[rng.randrange(len(far))] = "far"
+    rows = [(5, " ".join(words_)), (3, " ".join(edited)), (2, " ".join(far)), (9, " ".join(words_).upper())]
+    got = {r.doc_id: r.class_id for r in neardup.report(frame(spark, rows)).collect()}
+    assert got == {5: 3, 3: 3, 9: 3, 2: 2}
