@@ -52,3 +52,18 @@ def test_scalars(spark):
     assert [tuple(r) for r in got] == [("Marathon", "2H 55M 7.25S", "Mar 2024"), ("1609m", "60S", "Dec 2024"), ("1k", "1d 1H 1M 1S", None)]
     m = spark.range(1).select(haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("x"), haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("y")).first()
     assert m.x == pytest.approx(111194.93, abs=0.01) and m.y == pytest.approx(20015086.8, abs=0.1)
+
+
+def test_calls_check_on_demand(spark, capsys):
+    df = acts(spark, [("a", 80, 30), ("a", 82, None)])
+    window = {"start_date": "2024-03-01", "end_date": "2024-04-30"}
+    for call in (lambda t, **o: paceline.calculate_acwr(df, t, **window, **o), lambda t, **o: paceline.calculate_acwr_ewma(df, t, method="ewma", **window, **o), lambda t, **o: paceline.calculate_exposure(df, t, end_date="2024-04-30", **o)):
+        with pytest.warns(UserWarning, match="are few"):
+            call("Run", checked=True)
+        with pytest.raises(ValueError, match="no activities"):
+            call("Swim", checked=True)
+        assert call("Swim").count() == 0
+    paceline.checks.verbose()
+    paceline.described(paceline.calculate_acwr, df, "Run", **window)
+    assert "acwr" in capsys.readouterr().err
+    paceline.checks.verbose(False)
