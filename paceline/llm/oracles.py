@@ -38,5 +38,40 @@ from c group by conv_id
 """
 
 
+_OP10 = f"""
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n, {_WORDS} as words from documents),
+w as (select r, s, md5(array_slice(b, s, s + 399)) as h from (select r, b, unnest(generate_series(1, n - 399)) as s from d where n >= 400) x),
+hits as (select r, s from w where h in (select h from w group by h having count(*) > 1)),
+runs as (select r, s, sum(fresh) over (partition by r order by s) as run from (select r, s, case when s <= lag(s) over (partition by r order by s) + 400 then 0 else 1 end as fresh from hits) x),
+spans as (select r, min(s) as a, max(s) + 399 as z from runs group by r, run),
+gone as (select r, sum(z - a + 1) as n_removed, count(*) as n_spans from spans group by r),
+pieces as (
+  select r, coalesce(lag(z) over (partition by r order by a), 0) + 1 as p, a - 1 as q from spans
+  union all select d.r, coalesce(max(z), 0) + 1, any_value(n) from d left join spans on d.r = spans.r group by d.r),
+kept as (select d.r, sha256(unhex(string_agg(hex(array_slice(b, p, q)), '' order by p))) as kept from pieces join d on d.r = pieces.r where q >= p group by d.r),
+pw as (select r, s, md5(array_to_string(words[s : s + 49], ' ')) as h from (select r, words, unnest(generate_series(1, len(words) - 49)) as s from d where len(words) >= 50) x),
+pruns as (select r, s, sum(fresh) over (partition by r order by s) as run from (
+  select r, s, case when s <= lag(s) over (partition by r order by s) + 50 then 0 else 1 end as fresh from pw where h in (select h from pw group by h having min(r) < max(r))) x),
+pgone as (select r, sum(size) as n from (select r, max(s) - min(s) + 50 as size from pruns group by r, run) x group by r)
+select doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(kept, sha256('')) as kept_sha256, cast(coalesce(pgone.n, 0) as bigint) as n_passage_words
+from d left join gone on gone.r = d.r left join kept on kept.r = d.r left join pgone on pgone.r = d.r
+"""
+
+
+_OP6 = f"""
+with recursive d as (select doc_id, {_WORDS} as words from documents),
+s as (
+  select doc_id, g, count(*) as c from (select doc_id, array_to_string(words[i : i + 4], ' ') as g from (select doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) as i from d where len(words) > 0) x) y
+  group by doc_id, g),
+t as (select doc_id, sum(c) as n from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, sum(least(a.c, b.c)) as low from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from shared join t a on a.doc_id = x join t b on b.doc_id = y where cast(low as double) / cast(a.n + b.n - low as double) >= 0.8),
+both_ as (select x, y from links union all select y, x from links),
+reached as (select distinct x as a, x as b from both_ union select a, y from reached join both_ on b = x),
+least_ as (select a, min(b) as class_id from reached group by a)
+select doc_id, coalesce(class_id, doc_id) as class_id from d left join least_ on a = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1, "op5_chat": _OP5}
+    return {"op1_decontaminate": _OP1, "op5_chat": _OP5, "op6_neardup": _OP6, "op10_suffixdedup": _OP10}
