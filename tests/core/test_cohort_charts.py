@@ -68,7 +68,7 @@ def test_acwr_chart(spark):
     c = charts.plot_acwr(Result(series(spark), "acwr", {"load_metric": "tss", "activity_type": ["Run"], "acute_period": 7, "chronic_period": 28}))
     assert c.scales["y"] == [0, 2.0] and c.scales["y_breaks"][-1] == 2.0 and c.scales["x"] == (dt.date(2024, 1, 2), dt.date(2024, 2, 11))
     assert c.labels["subtitle"] == "load: tss; types: Run; 7 against 28 days" and c.layers["series"].count() == 37
-    assert [m.get("name") for m in c.marks[:4]] == ["High ACWR", "Elevated ACWR", "Reference Band", "Low ACWR"]
+    assert [m.get("name") for m in c.marks[:4]] == ["high", "elevated", "reference", "low"]
     assert charts.plot_acwr(series(spark, 2.31)).scales["y"] == [0, pytest.approx(2.31)]
     assert charts.plot_acwr(series(spark), highlight_zones=False).scales["y"] == [0, 1.5]
     for bad in (dict(sweet_spot_min=1.4), dict(high_risk_min=1.3)):

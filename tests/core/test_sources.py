@@ -171,3 +171,16 @@ def test_activities_without_ids_are_numbered_alike_each_time(spark):
     samples = spark.createDataFrame([("x", k, i, float(i), i * (2.0 + k / 10)) for k in range(1, 10) for i in range(700)], "athlete_id string, activity_id long, seq_no long, time_s double, distance double")
     runs = [sorted((r.activity_id, r.activity_date, round(r.time_seconds, 6)) for r in pbs.calculate_pbs(a, samples, "Run", "2024-01-01", "2024-02-01", [1000]).collect()) for a in (acts, acts.repartition(5, "distance"))]
     assert runs[0] == runs[1] and len(runs[0]) == 9
+
+
+def test_the_parsers_legs_are_those_of_the_column_function(spark):
+    import numpy as np
+
+    from paceline.functions import haversine
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    lat, lon = rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)
+    df = spark.createDataFrame([(i, *map(float, (lat[i], lon[i], lat[i + 1], lon[i + 1]))) for i in range(59)], "i long, a double, b double, c double, d double")
+    got = [r.m for r in df.select("i", haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("m")).orderBy("i").collect()]
+    assert np.allclose(got, tracks.leg_meters(lat, lon), rtol=1e-12)
