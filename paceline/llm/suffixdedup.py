@@ -32,7 +32,7 @@ from .store import dropped, written
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: symbols in work at once: longer texts are cut into pieces that overlap by all but one symbol of a string
-_PIECE = 2 << 20
+_PIECE = 1 << 19
 _PLACE = np.uint64((1 << 28) - 1)
 _RANGES = 16
 _PACK_BYTES = 384 << 10
