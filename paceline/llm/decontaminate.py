@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .arrowtext import WORD_BYTE, column_bytes, mix64, text_runs, words
-from .store import unused, written
+from .store import dropped, unused, written
 
 _LANE = 64
 _TABLE_BITS = 18
@@ -225,6 +225,7 @@ def detect(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: st
     df = docs.select(*keep).withColumn(out, F.lit(None).cast(f"struct<{DETAIL.replace(' long', ':bigint').replace(' array', ':array')}>"))
     schema = df.schema
     spark = docs.sparkSession
+    step = None
     for b in range(n_blocks):
         rows = [(r.k, r.t) for r in base.filter(block == b).toLocalIterator()]
         tables = spark.sparkContext.broadcast(pattern_sets(rows, n))
@@ -238,7 +239,10 @@ def detect(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: st
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], schema=part.schema)
 
         if b and b % _CHAIN == 0:
-            df = written(df, "decontaminate")
+            df, last = written(df, "decontaminate"), step
+            step = df
+            if last is not None:
+                dropped(last)
         df = df.mapInArrow(run, schema)
     return df
 
