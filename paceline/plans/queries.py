@@ -318,8 +318,8 @@ _DOCUMENTS = {
 def export_tracks(spark, sf_dir):
     """The streams through sensor files: even activities written as GPX, odd ones as gzipped TCX, parsed and summed up by file."""
     s = streams(spark, sf_dir).selectExpr(
-        "activity_id as key", "seq_no as place", "seq_no * 0.0001D + 1.3D as lat", "seq_no % 50 * 0.0002D + 103.8D as lon", "distance", "watts", "coalesce(cast(heartrate as string), '') as hr",
-        "format_string('2020-01-01T%02d:%02d:%02dZ', seq_no div 3600, seq_no % 3600 div 60, seq_no % 60) as at")
+        "activity_id as key", "seq_no as place", "seq_no * 0.0001 + 1.3 as lat", "seq_no % 50 * 0.0002 + 103.8 as lon", "distance", "watts", "coalesce(cast(heartrate as string), '') as hr",
+        "format_string('%sT%02d:%02d:%02dZ', cast(date_add(date'2020-01-01', cast(seq_no div 86400 as int)) as string), seq_no % 86400 div 3600, seq_no % 3600 div 60, seq_no % 60) as at")
     parsed = []
     for i, (form, (head, foot, point)) in enumerate(_DOCUMENTS.items()):
         points = s.filter(F.col("key") % 2 == i)

@@ -104,9 +104,10 @@ def parse_gpx(content: bytes) -> dict[str, np.ndarray]:
 
 
 def leg_meters(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """Great-circle meters from each point to the next."""
-    a, b = np.radians(lat[:-1]), np.radians(lat[1:])
-    x = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(np.diff(lon)) / 2) ** 2
+    """Great-circle meters from each point to the next, of differences in radians: as an engine's SQL has them, to the last digits."""
+    lat, lon = np.radians(lat), np.radians(lon)
+    a, b = lat[:-1], lat[1:]
+    x = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.diff(lon) / 2) ** 2
     return 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(x), np.sqrt(np.maximum(0, 1 - x)))
 
 

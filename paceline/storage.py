@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -36,10 +36,11 @@ def new_place(spark: SparkSession, name: str) -> str:
 def as_files(lines: DataFrame, name: str, extension: str, compression: str = "none") -> str:
     """Writes lines (key, place, line) as one text file for each key, lines by place, into the shared folder; its path.
 
-    The files are in folders key=…; extension: three letters.
+    The files are in folders key=…; extension: three letters.  Rows are dealt by a hash of the key: a union whose sides are both
+    partitioned by key is not dealt again by the key itself, and its sides may then write the same key in different tasks.
     """
     path = new_place(lines.sparkSession, name)
-    rows = lines.repartition("key").sortWithinPartitions("key", "place").select("key", "line")
+    rows = lines.repartition(F.xxhash64("key")).sortWithinPartitions("key", "place").select("key", "line")
     rows.write.options(header=False, sep="\x01", quote="", extension=extension, compression=compression).partitionBy("key").csv(path)
     return path
 

@@ -184,3 +184,54 @@ def test_the_parsers_legs_are_those_of_the_column_function(spark):
     df = spark.createDataFrame([(i, *map(float, (lat[i], lon[i], lat[i + 1], lon[i + 1]))) for i in range(59)], "i long, a double, b double, c double, d double")
     got = [r.m for r in df.select("i", haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("m")).orderBy("i").collect()]
     assert np.allclose(got, tracks.leg_meters(lat, lon), rtol=1e-12)
+
+
+@pytest.fixture
+def fine_partitions(spark):
+    """Exchanges are read in many partitions though the tables are small, as they are when tables are large."""
+    more = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    before = {c: spark.conf.get(c) for c in more}
+    for c, v in more.items():
+        spark.conf.set(c, v)
+    yield
+    for c, v in before.items():
+        spark.conf.set(c, v)
+
+
+def test_a_key_of_a_union_is_one_file(spark, fine_partitions):
+    from pathlib import Path
+
+    from pyspark.sql import Window, functions as F
+
+    from paceline.storage import as_files
+
+    rows = spark.range(4000).selectExpr("id % 40 as key", "id", "repeat('x', cast(id % 40 * 10 as int) + 1) as line")
+    points = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).select("key", "place", "line")
+    ends = rows.groupBy("key").agg(F.count("*").alias("n")).selectExpr("key", "inline(array(struct(0 as place, 'head' as line), struct(cast(n as int) + 1 as place, 'foot' as line)))")
+    files = list(Path(as_files(points.unionByName(ends), "t", "gpx")).glob("key=*/part-*"))
+    assert len(files) == 40 and {(f.read_text().split()[0], f.read_text().split()[-1], len(f.read_text().split())) for f in files} == {("head", "foot", 102)}
+
+
+def test_legs_are_those_of_sql():
+    import math
+
+    import numpy as np
+
+    lat, lon = [float(f"{13000 + i}e-4") for i in range(1200)], [float(f"{1038000 + i % 50 * 2}e-4") for i in range(1200)]
+    a, o = [math.radians(x) for x in lat], [math.radians(x) for x in lon]
+    want = [2 * 6371000 * math.asin(math.sqrt(math.sin((a[i] - a[i - 1]) / 2) ** 2 + math.cos(a[i - 1]) * math.cos(a[i]) * math.sin((o[i] - o[i - 1]) / 2) ** 2)) for i in range(1, 1200)]
+    assert np.abs(tracks.leg_meters(np.array(lat), np.array(lon)) - want).max() < 1e-11
+
+
+def test_tracks_equal_their_sql(spark, fine_partitions, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from paceline.plans import oracles, queries
+
+    sizes = [86_500, 700, 1033, 650, 900, 800]  # the first lasts longer than a day
+    con = duckdb.connect()
+    con.sql("create table events as " + " union all ".join(f"select {u * 100_000} + i as event_id, timestamp '2024-01-01' + i * interval 1 second as ts, cast({u * 15} + i % 15 as bigint) as user_id from range({n}) t(i)" for u, n in enumerate(sizes)))
+    con.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    df = queries.queries()["export_tracks"](spark, str(tmp_path))
+    got, sql = sorted(map(tuple, df.collect()), key=str), con.sql(oracles.oracle_sql()["export_tracks"])
+    assert df.columns == sql.columns and [r[3] for r in got] == sizes
+    assert got == sorted(sql.fetchall(), key=str)
